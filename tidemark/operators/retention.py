@@ -147,5 +147,5 @@ def purge(store: Store) -> Store:
 def exclude_query(excluded: DataFrame, query_id: int) -> DataFrame:
     """Exclusion list with one more query; listing a query twice changes nothing."""
     spark = excluded.sparkSession
-    more = spark.range(1).select(F.lit(query_id).cast("int").alias("query_id"))
+    more = spark.range(1).select(F.lit(query_id).cast("long").alias("query_id"))
     return excluded.union(more).dropDuplicates(["query_id"])
