@@ -52,9 +52,15 @@ class Workload:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
+
+    def _width(self) -> int:
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     # -- time ---------------------------------------------------------------
 
@@ -110,7 +116,9 @@ class Workload:
             *[F.max(m).alias(f"max_{m}") for m in METRICS],
         )
         # By user, so that the windows, the fold per query and the deltas share this shuffle.
-        hourly = hourly.repartition("user_id")
+        # The number is given because each row grows into many below: judged by their size
+        # before that, adaptive execution would merge the partitions into too few.
+        hourly = hourly.repartition(self._width(), "user_id")
         user = Window.partitionBy("user_id")
         handle = Window.partitionBy("user_id", "event_type").orderBy("h")
         so_far = handle.rowsBetween(Window.unboundedPreceding, Window.currentRow)
