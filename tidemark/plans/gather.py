@@ -95,8 +95,9 @@ def gather(
     """Collect one interval.
 
     ``budget`` is a ``within_budget`` frame; leave it out to skip that gate.
-    New plans and queries are computed once, into the shared checkpoint folder,
-    because several results build on the ids they are given.
+    Everything to be written is computed first, into the shared checkpoint
+    folder: results build on the ids given to new plans and queries, and
+    writing replaces an interval that the differences were taken from.
     """
     monitored = ingest.monitored_list(config, store.monitored_databases)
     run_id = _scalar(store.activity_log, "log_run_id") + 1
@@ -158,8 +159,8 @@ def gather(
     previous = F.col("interval_id") == interval_id - 1
     earlier = store.query_runtime_stats.filter(previous)
     earlier_waits = store.wait_stats.filter(previous)
-    runtime_deltas = deltas.runtime_delta_step(earlier, runtime)
-    wait_deltas = deltas.wait_delta_step(earlier_waits, waits)
+    runtime_deltas = cut_lineage(deltas.runtime_delta_step(earlier, runtime))
+    wait_deltas = cut_lineage(deltas.wait_delta_step(earlier_waits, waits))
 
     counted = {
         ("captured ", " new plan(s)"): captured,
@@ -174,6 +175,7 @@ def gather(
     for i, message in enumerate(messages):
         entry = log.log_event(message, log_id + 1 + i, run_id, as_of)
         entries = entry if entries is None else entries.unionByName(entry)
+    entries = cut_lineage(entries)
 
     changes = {
         "intervals": interval_events(spark, interval_id, as_of),

@@ -13,19 +13,6 @@ from tidemark.store import Store, empty_table
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
-#: Order in which a run is written.  Plans and queries come before the ledger of
-#: seen handles, so a run that fails half-way finds them again when repeated.
-WRITE_ORDER = (
-    "plans",
-    "queries",
-    "query_runtime_stats",
-    "wait_stats",
-    "activity_log",
-    "plan_dbid",
-    "intervals",
-)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables that every executor can reach.
 
@@ -141,11 +128,28 @@ def _drop_folder(spark: SparkSession, path: str) -> None:
 
 
 def publish_run(changes: Mapping[str, DataFrame], root: str, interval_ids: Sequence[int] = ()) -> None:
-    """Write what one collection run produced (see ``tidemark.plans.gather``)."""
-    for name in WRITE_ORDER:
-        if name not in changes:
-            continue
-        if name in schemas.PARTITIONED_BY:
-            replace_intervals(changes[name], root, name, interval_ids)
-        else:
-            append_rows(changes[name], root, name)
+    """Write what one collection run produced (see ``tidemark.plans.gather``).
+
+    The order makes a failed run safe to repeat.  Plans and queries precede the
+    ledger of seen handles, so they are found again.  Until the new interval is
+    opened, a repeated run takes the same id and overwrites its snapshot.  The
+    differences replace the previous snapshot last of all: a run that fails
+    just before leaves that one interval undifferenced, never differenced twice.
+    """
+    newest = max(interval_ids, default=None)
+    facts = [name for name in schemas.PARTITIONED_BY if name in changes]
+
+    def append(*names: str) -> None:
+        for name in names:
+            if name in changes:
+                append_rows(changes[name], root, name)
+
+    append("plans", "queries", "plan_dbid")
+    for name in facts:
+        snapshot = changes[name].filter(F.col("interval_id") == newest)
+        replace_intervals(snapshot, root, name, [newest])
+    append("intervals")
+    for name in facts:
+        differences = changes[name].filter(F.col("interval_id") != newest)
+        replace_intervals(differences, root, name, [i for i in interval_ids if i != newest])
+    append("activity_log")
