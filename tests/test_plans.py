@@ -47,12 +47,14 @@ def fact_scan(text, column):
 
 
 def test_reports_prune_folders_columns_and_rows(spark, stored):
-    scan = fact_scan(plan(reports.top_avg_duration(stored, ts(23))), "avg_elapsed_time")
-    assert "dynamicpruning" in scan
+    text = plan(reports.top_avg_duration(stored, ts(23)))
+    assert "SubqueryAdaptiveBroadcast dynamicpruning" in text
+    scan = fact_scan(text, "avg_elapsed_time")
     assert "GreaterThan(execution_count,0)" in scan
     assert re.search(r"ReadSchema: struct<query_id:bigint,execution_count:bigint,avg_elapsed_time:bigint>", scan)
-    scan = fact_scan(plan(reports.top_waits(stored, ts(23))), "wait_time_ms")
-    assert "dynamicpruning" in scan and "ReadSchema: struct<wait_type:string,wait_time_ms:bigint>" in scan
+    text = plan(reports.top_waits(stored, ts(23)))
+    assert "SubqueryAdaptiveBroadcast dynamicpruning" in text
+    assert "ReadSchema: struct<wait_type:string,wait_time_ms:bigint>" in fact_scan(text, "wait_time_ms")
 
 
 def test_expired_wait_folders_are_not_read(spark, stored):
