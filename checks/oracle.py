@@ -516,4 +516,41 @@ ORACLE: dict[str, str] = {
     + """
     SELECT query_id, interval_id, execution_count FROM qrs
     WHERE (query_id, interval_id) NOT IN (SELECT (query_id, interval_id) FROM gone)""",
+    "gather_run": ctes(
+        *HANDLE_PARTS, XML, STATEMENTS, MEASURED, INTERVALS, WAIT_SNAP,
+        (
+            "captured",
+            """
+            SELECT s.plan_handle FROM new_handles h JOIN statements s ON s.plan_handle = h.plan_handle
+            JOIN xml x ON x.plan_handle = h.plan_handle
+            WHERE query_plan IS NOT NULL AND NOT (query_plan LIKE '%</ShowPlanXML>'
+                AND regexp_matches(query_plan, 'ColumnReference Schema="\\[oqs\\]"'))
+        """,
+        ),
+        (
+            "captured_queries",
+            f"""
+            SELECT s.query_hash FROM captured p JOIN statements s ON s.plan_handle = p.plan_handle
+            JOIN documents d ON {hexid('d.doc_id')} = s.sql_handle
+        """,
+        ),
+    )
+    + """
+    SELECT 'activity_log' AS table_name, CAST(6 AS BIGINT) AS row_count
+    UNION ALL SELECT 'intervals', 1
+    UNION ALL SELECT 'plan_dbid', count(*) FROM new_handles
+    UNION ALL SELECT 'plans', count(*) FROM captured
+    UNION ALL SELECT 'queries', count(*) FROM captured_queries
+    UNION ALL SELECT 'query_runtime_stats', count(*) FROM captured_queries
+    UNION ALL SELECT 'wait_stats', count(*) FROM wsnap WHERE interval_id = (SELECT max(interval_id) FROM iv)""",
+    "stream_runtime_delta": ctes(*HISTORY)
+    + "SELECT * FROM qrs WHERE (query_id, interval_id) NOT IN "
+    "(SELECT (query_id, max(interval_id)) FROM snap GROUP BY query_id)",
+    "stream_waits_delta": ctes(*WAITS) + "SELECT * FROM ws WHERE is_delta",
+    "stream_interval_totals": ctes(MEASURED) + """
+    SELECT interval_start, interval_start + INTERVAL 1 HOUR AS interval_end, event_type, count(*) AS events,
+        CAST(sum(elapsed_time) AS BIGINT) AS total
+    FROM (SELECT *, date_trunc('hour', ts) AS interval_start FROM measured)
+    GROUP BY 1, 2, 3
+    HAVING interval_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
 }

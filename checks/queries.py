@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.config import StoreConfig
 from tidemark.functions.text import utf16_length, utf16_slice
 from tidemark.functions.versions import at_least, version_parts
 from tidemark.operators import deltas, intervals, relational, retention, snapshots
 from tidemark.plans import charts, reports
-from tidemark.schemas import QUERY_STATS, ROWS_SINCE, STATEMENT_HANDLE_SINCE
+from tidemark.plans.gather import gather
+from tidemark.schemas import QUERY_STATS, ROWS_SINCE, STATEMENT_HANDLE_SINCE, STORE_TABLES
 from tidemark.sources import align, catalog, ingest, log
+from tidemark.sources.tables import shared_folder
 from tidemark.sources.workload import (
     AS_OF,
     COUNTERS_OF_ALL_VERSIONS,
@@ -23,6 +27,10 @@ from tidemark.sources.workload import (
     RETENTION_DAYS,
     Workload,
 )
+from tidemark.store import empty_store
+from tidemark.streaming.deltas import stream_delta, stream_wait_delta
+from tidemark.streaming.publish import read_snapshots
+from tidemark.streaming.totals import interval_totals
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -516,3 +524,63 @@ def retention_throttled(w: Workload) -> DataFrame:
     runtime = _runtime(w)
     kept = retention.keep_runtime(runtime, _candidates(w, runtime), THROTTLE)
     return kept.select("query_id", "interval_id", "execution_count")
+
+
+# -- whole runs and streams ----------------------------------------------------
+
+
+@query
+def gather_run(w: Workload) -> DataFrame:
+    """One collection run over parts, line items and documents: rows gained per table."""
+    config = StoreConfig(collection_active=True, mode="centralized")
+    store = empty_store(w.spark).with_frames(
+        monitored_databases=w.monitored_databases(), plan_dbid=w.seen_plans()
+    )
+    run = gather(w.inputs(), store, config, AS_OF, own_schema=OWN_SCHEMA)
+    out = None
+    for name, df in sorted(run.changes.items()):
+        counted = df.agg(F.count(F.lit(1)).alias("row_count")).select(
+            F.lit(name).alias("table_name"), "row_count"
+        )
+        out = counted if out is None else out.unionAll(counted)
+    return out
+
+
+def _streamed(stream: DataFrame, folder: str) -> DataFrame:
+    """Run a stream over what is there now, into files, and read them."""
+    writer = stream.writeStream.format("parquet").outputMode("append")
+    writer = writer.option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def _snapshot_stream(w: Workload, df: DataFrame, name: str, folder: str) -> DataFrame:
+    df.select(*STORE_TABLES[name].names).write.parquet(f"{folder}/in")
+    return read_snapshots(w.spark, f"{folder}/in", name)
+
+
+def _folder(w: Workload) -> str:
+    return f"{shared_folder(w.spark)}/stream-{uuid4().hex}"
+
+
+@query
+def stream_runtime_delta(w: Workload) -> DataFrame:
+    folder = _folder(w)
+    snapshots_in = _snapshot_stream(w, w.runtime_snapshots(), "query_runtime_stats", folder)
+    return _streamed(stream_delta(snapshots_in), folder)
+
+
+@query
+def stream_waits_delta(w: Workload) -> DataFrame:
+    folder = _folder(w)
+    waits_in = _snapshot_stream(w, snapshots.wait_snapshot(w.wait_counters()), "wait_stats", folder)
+    return _streamed(stream_wait_delta(waits_in), folder)
+
+
+@query
+def stream_interval_totals(w: Workload) -> DataFrame:
+    folder = _folder(w)
+    schema = w.table("events").schema
+    events = w.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(w.sf_dir)
+    elapsed = events.withColumn("elapsed_time", F.round(F.col("value") * 100).cast("long"))
+    return _streamed(interval_totals(elapsed, "ts", {"total": "elapsed_time"}, ["event_type"]), folder)

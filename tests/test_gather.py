@@ -14,7 +14,9 @@ from tidemark.schemas import (
     CACHED_PLANS, DATABASES, METRICS, PLAN_ATTRIBUTES, PLAN_XML, SQL_TEXT, WAIT_COUNTER_INPUT,
 )
 from tidemark.sources import catalog, log
-from tidemark.sources.tables import create_store, publish_run, read_store, replace_intervals, stored_files, write_store
+from tidemark.sources.tables import (
+    create_store, publish_run, purge_store, read_store, replace_intervals, stored_files, wait_type_filter, write_store,
+)
 from tidemark.store import Inputs
 
 ACTIVE = StoreConfig(collection_active=True, mode="centralized")
@@ -156,5 +158,18 @@ def test_cleanup_follows_even_a_skipped_run(spark, root, tmp_path):
     assert kept.intervals.count() == 1 and kept.plan_dbid.count() == 1
 
 
+def test_purge_in_place(spark, root):
+    collect(spark, root, inputs(spark, [(b"p1", b"a", 2, 10)], [("IO", 1, 5)]), 1)
+    purge_store(spark, root)
+    left = {name for name, df in read_store(spark, root).tables().items() if not df.isEmpty()}
+    assert left == {"monitored_databases", "wait_type_filter"}
+    collect(spark, root, inputs(spark, [(b"p1", b"a", 2, 10)], [("IO", 1, 5)]), 1)
+    assert rows(read_store(spark, root).intervals, "interval_id") == [(1,)]
+
+
+def test_wait_filter_lists_each_type_once(spark):
+    assert rows(wait_type_filter(spark, ["A", "B", "A"])) == [("A", True), ("B", True)]
+
+
 def test_namespace_of_fixtures():
     assert NS in xml()

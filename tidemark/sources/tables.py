@@ -96,6 +96,20 @@ def create_store(spark: SparkSession, root: str, **initial: DataFrame) -> Store:
     return read_store(spark, root)
 
 
+def purge_store(spark: SparkSession, root: str) -> None:
+    """Empty every history table in place; watched databases and wait filter stay."""
+    for name in schemas.STORE_TABLES:
+        if name not in schemas.KEPT_ON_PURGE:
+            _writer(empty_table(spark, name), name).mode("overwrite").parquet(f"{root}/{name}")
+
+
+def wait_type_filter(spark: SparkSession, names: Sequence[str], is_default: bool = True) -> DataFrame:
+    """A filter table out of a list of wait types, each listed once."""
+    return spark.createDataFrame(
+        [(name, is_default) for name in dict.fromkeys(names)], schemas.WAIT_TYPE_FILTER
+    )
+
+
 def append_rows(df: DataFrame, root: str, name: str) -> None:
     """Add rows to a table."""
     _writer(df, name).mode("append").parquet(f"{root}/{name}")

@@ -11,6 +11,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.text import fingerprint
 from tidemark.functions.times import at
@@ -18,7 +19,7 @@ from tidemark.operators.deltas import runtime_delta, wait_delta
 from tidemark.operators.intervals import open_close_intervals
 from tidemark.operators.snapshots import fold_snapshot, wait_snapshot
 from tidemark.schemas import METRICS
-from tidemark.store import Store
+from tidemark.store import Inputs, Store
 
 # Parameters of the projection.
 EPOCH = datetime(2024, 1, 1)
@@ -46,6 +47,10 @@ def hour_of(ts: Column) -> Column:
 COUNTERS_OF_ALL_VERSIONS = ("execution_count", "total_worker_time", "total_elapsed_time")
 
 
+#: Schemas of tables seen before, by path, so that a footer is read once per process.
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 class Workload:
     """Lazily derived frames over one folder of test tables."""
 
@@ -56,7 +61,12 @@ class Workload:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
-            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            path = f"{self.sf_dir}/{name}.parquet"
+            reader = self.spark.read
+            if path in _SCHEMAS:
+                reader = reader.schema(_SCHEMAS[path])
+            self._tables[name] = reader.parquet(path)
+            _SCHEMAS[path] = self._tables[name].schema
         return self._tables[name]
 
     def _width(self) -> int:
@@ -411,6 +421,19 @@ class Workload:
         return self.table("documents").select(hex_id(F.col("doc_id")).alias("sql_handle"), "text")
 
 
+    def inputs(self) -> Inputs:
+        """What one collection run at the newest interval reads."""
+        newest = F.col("interval_id") == self.last_hour() + 1
+        return Inputs(
+            cached_plans=self.cached_plans(),
+            plan_attributes=self.plan_attributes(),
+            plan_xml=self.plan_xml(),
+            query_stats=self.statements().drop("l_partkey", "l_linenumber"),
+            sql_text=self.sql_text(),
+            wait_counters=self.wait_counters().filter(newest).drop("interval_id"),
+            databases=self.databases(),
+        )
+
     def versioned_stats(self) -> DataFrame:
         """Parts as statement counters from servers of three versions."""
         key = F.col("p_partkey")
