@@ -106,7 +106,8 @@ def gather(
     spark = store.intervals.sparkSession
     if reason is not None:
         entry = log.log_event(log.text_message(spark, reason), log_id + 1, run_id, as_of)
-        return _clean(Run(store, {"activity_log": entry}, {}, reason), config, as_of, run_id, log_id + 1)
+        logged = store.with_frames(activity_log=store.activity_log.unionByName(entry))
+        return _clean(Run(logged, {"activity_log": entry}, {}, reason), config, as_of, run_id, log_id + 1)
 
     interval_id = _scalar(store.intervals, "interval_id") + 1
     stats = inputs.query_stats
