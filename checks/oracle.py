@@ -165,20 +165,20 @@ def label(ts: str) -> str:
 
 def top_runtime(measure: str, name: str) -> str:
     return ctes(*HISTORY, QUERIES, EXCLUDED, recent(24)) + f"""
-    SELECT {measure} AS {name}, q.query_id
-    FROM qrs JOIN queries q ON qrs.query_id = q.query_id JOIN recent USING (interval_id)
-    WHERE execution_count > 0 AND q.query_id NOT IN (SELECT query_id FROM excluded)
-    GROUP BY q.query_id ORDER BY {name} DESC, q.query_id LIMIT 10"""
+    SELECT {measure} AS {name}, query_id
+    FROM qrs SEMI JOIN queries USING (query_id) ANTI JOIN excluded USING (query_id)
+    SEMI JOIN recent USING (interval_id)
+    WHERE execution_count > 0 GROUP BY query_id ORDER BY {name} DESC, query_id LIMIT 10"""
 
 
 def by_database(hours: int, measures: list[str], time: str) -> str:
     sums = ", ".join(f"CAST(sum({m}) AS BIGINT) AS {m}" for m in measures)
     return f"""
     SELECT {time} AS time_date, plan_database AS database_name, {sums}
-    FROM qrs JOIN recent USING (interval_id)
-    JOIN queries q ON qrs.query_id = q.query_id JOIN plans p ON q.plan_id = p.plan_id
-    WHERE execution_count > 0 AND q.query_id NOT IN (SELECT query_id FROM excluded)
-    GROUP BY 1, 2"""
+    FROM qrs ANTI JOIN excluded USING (query_id)
+    JOIN (SELECT query_id, plan_database FROM queries JOIN plans USING (plan_id)) USING (query_id)
+    JOIN recent USING (interval_id)
+    WHERE execution_count > 0 GROUP BY ALL"""
 
 
 def database_report(hours: int, measures: list[str], time: str = label("interval_end")) -> str:
@@ -205,31 +205,28 @@ PER_INTERVAL = (
 
 def top3(order: str) -> str:
     return ctes(*WAIT_REPORT) + f"""
-    SELECT * FROM (SELECT {label('interval_end')} AS time_date, wait_type, wait_time_ms,
-        row_number() OVER (PARTITION BY interval_id ORDER BY {order}) AS r FROM recent_waits)
-    WHERE r <= 3"""
+    SELECT {label('interval_end')} AS time_date, wait_type, wait_time_ms, row_number() OVER place AS r
+    FROM recent_waits WINDOW place AS (PARTITION BY interval_id ORDER BY {order}) QUALIFY r <= 3"""
 
 
 DISTINCT = f"""
-    SELECT {label('last_execution_time')} AS time_date, count(DISTINCT query_id) AS distinct_queries
-    FROM qrs WHERE last_execution_time >= {AS_OF} - INTERVAL {{hours}} HOUR
-    AND query_id NOT IN (SELECT query_id FROM excluded) GROUP BY last_execution_time"""
-MULTI = (
-    "multi",
-    """
-    SELECT query_hash, plan_database AS query_database FROM queries q JOIN plans p ON q.plan_id = p.plan_id
-    WHERE query_id NOT IN (SELECT query_id FROM excluded) GROUP BY 1, 2 HAVING count(query_id) > 1
-""",
+    SELECT {label('last_execution_time')} AS time_date, len(list_distinct(list(query_id))) AS distinct_queries
+    FROM qrs ANTI JOIN excluded USING (query_id)
+    WHERE last_execution_time >= {AS_OF} - INTERVAL {{hours}} HOUR GROUP BY last_execution_time"""
+SHAPES = (
+    ("shape", "SELECT query_hash, min(query_id) AS first_id FROM queries GROUP BY ALL"),
+    (
+        "tally",
+        """
+        SELECT query_hash, plan_database AS query_database, count(*) AS members
+        FROM (queries ANTI JOIN excluded USING (query_id)) JOIN plans USING (plan_id) GROUP BY ALL
+    """,
+    ),
 )
-
-
-def multiple(same_db: str = "") -> str:
-    return f"""
-    SELECT query_database,
-           (SELECT min(query_id) FROM queries f WHERE f.query_hash = m.query_hash) AS query_id,
-           q.plan_id AS plan_id
-    FROM multi m JOIN queries q ON m.query_hash = q.query_hash JOIN plans p ON q.plan_id = p.plan_id
-    {same_db}"""
+MULTIPLE = """
+    SELECT query_database, first_id AS query_id, plan_id
+    FROM (SELECT * FROM tally WHERE members > 1) JOIN shape USING (query_hash)
+    JOIN (SELECT query_hash, plan_id, plan_database FROM queries JOIN plans USING (plan_id)) USING (query_hash)"""
 
 
 # -- collection inputs -------------------------------------------------------
@@ -271,7 +268,7 @@ XML = (
         '<ShowPlanXML xmlns="urn:example:showplan"><BatchSequence><Batch><Statements><StmtSimple'
         || CASE WHEN p_size % 5 = 0 THEN '' WHEN p_size % 2 = 0 THEN ' StatementOptmLevel="TRIVIAL"'
                 ELSE ' StatementOptmLevel="FULL"' END
-        || '><ColumnReference Schema="[' || CASE WHEN p_partkey % 17 = 0 THEN 'oqs' ELSE 'dbo' END
+        || '><ColumnReference Schema="[' || CASE WHEN p_partkey % 17 = 0 THEN 'telemetry' ELSE 'dbo' END
         || ']" Column="' || p_partkey || '"/></StmtSimple></Statements></Batch></BatchSequence></ShowPlanXML>'
         AS doc FROM part)
 """,
@@ -316,7 +313,7 @@ PARTS = (
            CAST(split_part(version, '.', 3) AS INTEGER) AS build FROM versions
 """,
 )
-HAS_ROWS = "NOT (major = 9 OR (major = 10 AND minor < 50) OR (major = 10 AND minor = 50 AND build < 2500))"
+HAS_ROWS = "(major * 1000 + minor) * 100000 + build >= 1005002500"
 
 # -- retention ---------------------------------------------------------------
 
@@ -398,7 +395,7 @@ ORACLE: dict[str, str] = {
         (
             "own",
             "SELECT p_partkey FROM xml WHERE query_plan LIKE '%</ShowPlanXML>' "
-            "AND regexp_matches(query_plan, 'ColumnReference Schema=\"\\[oqs\\]\"')",
+            "AND regexp_matches(query_plan, 'ColumnReference Schema=\"\\[telemetry\\]\"')",
         ),
     )
     + """
@@ -436,7 +433,7 @@ ORACLE: dict[str, str] = {
     "intervals": ctes(INTERVALS) + "SELECT * FROM iv",
     "closed_intervals": ctes(INTERVALS, recent(24)) + "SELECT * FROM recent",
     "not_excluded": ctes(QUERIES, EXCLUDED)
-    + "SELECT query_id, plan_id FROM queries WHERE query_id NOT IN (SELECT query_id FROM excluded)",
+    + "SELECT query_id, plan_id FROM queries ANTI JOIN excluded USING (query_id)",
     "runtime_delta": ctes(*HISTORY) + "SELECT * FROM qrs",
     "runtime_delta_strict": ctes(*HISTORY) + "SELECT * FROM qrs WHERE is_delta",
     "runtime_delta_zeroed": ctes(*RUNTIME, ("qrs", delta_body(zeroed=True)))
@@ -464,16 +461,20 @@ ORACLE: dict[str, str] = {
     + " FROM d GROUP BY 1",
     "io": database_report(24, ["avg_logical_reads", "avg_logical_writes"]),
     "elapsed_time": database_report(192, ["avg_elapsed_time"]),
-    "item_count": ctes(*HISTORY, WAIT_SNAP, WAIT_DELTA, QUERIES, PLANS) + """
-    SELECT plan_database AS "database", count(DISTINCT q.query_id) AS queries, count(DISTINCT p.plan_id) AS plans,
-        (SELECT count(interval_id) FROM iv) AS intervals, count(qrs.query_id) AS runtime_stats,
-        (SELECT count(wait_type) FROM ws) AS wait_stats
-    FROM queries q JOIN plans p ON p.plan_id = q.plan_id JOIN qrs ON qrs.query_id = q.query_id GROUP BY 1""",
+    "item_count": ctes(
+        *HISTORY, WAIT_SNAP, WAIT_DELTA, QUERIES, PLANS,
+        ("per_query", "SELECT query_id, count(*) AS n FROM qrs GROUP BY 1"),
+    )
+    + """
+    SELECT plan_database AS "database", count(*) AS queries, count(DISTINCT plan_id) AS plans,
+        (SELECT count(*) FROM iv) AS intervals, CAST(sum(n) AS BIGINT) AS runtime_stats,
+        (SELECT count(*) FROM ws) AS wait_stats
+    FROM per_query JOIN queries USING (query_id) JOIN plans USING (plan_id) GROUP BY 1""",
     "last_log": ctes(LOG) + "SELECT * FROM log WHERE log_run_id = (SELECT max(log_run_id) FROM log)",
-    "multiple_plans": ctes(QUERIES, PLANS, EXCLUDED, MULTI) + multiple(),
-    "multiple_plans_same_db": ctes(QUERIES, PLANS, EXCLUDED, MULTI)
-    + multiple("WHERE p.plan_database = m.query_database"),
-    "multiple_plans_chart": ctes(QUERIES, PLANS, EXCLUDED, MULTI, ("d", multiple()))
+    "multiple_plans": ctes(QUERIES, PLANS, EXCLUDED, *SHAPES) + MULTIPLE,
+    "multiple_plans_same_db": ctes(QUERIES, PLANS, EXCLUDED, *SHAPES)
+    + MULTIPLE + " WHERE plan_database = query_database",
+    "multiple_plans_chart": ctes(QUERIES, PLANS, EXCLUDED, *SHAPES, ("d", MULTIPLE))
     + "SELECT query_id, query_database, count(plan_id) AS plan_count FROM d GROUP BY 1, 2",
     "excluded_count": ctes(EXCLUDED) + "SELECT count(*) AS excluded_query_count FROM excluded",
     "wait_filter_count": ctes(FILTERED) + "SELECT count(*) AS wait_type_filter_count FROM filtered",
@@ -524,7 +525,7 @@ ORACLE: dict[str, str] = {
             SELECT s.plan_handle FROM new_handles h JOIN statements s ON s.plan_handle = h.plan_handle
             JOIN xml x ON x.plan_handle = h.plan_handle
             WHERE query_plan IS NOT NULL AND NOT (query_plan LIKE '%</ShowPlanXML>'
-                AND regexp_matches(query_plan, 'ColumnReference Schema="\\[oqs\\]"'))
+                AND regexp_matches(query_plan, 'ColumnReference Schema="\\[telemetry\\]"'))
         """,
         ),
         (

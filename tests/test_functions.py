@@ -140,10 +140,10 @@ XML = [
     (doc("<StmtSimple/>", '<StmtSimple StatementOptmLevel="FULL"/>'), "Full", True, False),
     (doc('<StmtSimple StatementOptmLevel="FULL"/>', '<StmtSimple StatementOptmLevel="TRIVIAL"/>'), "Full", True, False),
     (doc("<StmtCond/>"), None, True, False),
-    (doc('<StmtSimple><Q><ColumnReference Schema="[oqs]"/></Q></StmtSimple>'), None, True, True),
-    (doc('<StmtSimple><ColumnReference Schema="&#91;oqs&#93;"/></StmtSimple>'), None, True, True),
-    (doc('<StmtSimple note="[oqs]"><ColumnReference Schema="[dbo]"/></StmtSimple>'), None, True, False),
-    (doc('<StmtSimple StatementOptmLevel="FULL"><ColumnReference Schema="[oqs]"/>')[:-15], None, False, False),
+    (doc('<StmtSimple><Q><ColumnReference Schema="[telemetry]"/></Q></StmtSimple>'), None, True, True),
+    (doc('<StmtSimple><ColumnReference Schema="&#91;telemetry&#93;"/></StmtSimple>'), None, True, True),
+    (doc('<StmtSimple note="[telemetry]"><ColumnReference Schema="[dbo]"/></StmtSimple>'), None, True, False),
+    (doc('<StmtSimple StatementOptmLevel="FULL"><ColumnReference Schema="[telemetry]"/>')[:-15], None, False, False),
     ("<ShowPlanXML/>", None, True, False),
     ("", None, False, False),
     (None, None, False, False),
@@ -156,7 +156,7 @@ def test_plan_documents(spark):
         "i",
         optimization_level(F.col("x")).alias("level"),
         is_well_formed(F.col("x")).alias("ok"),
-        touches_schema(F.col("x"), "oqs").alias("own"),
+        touches_schema(F.col("x"), "telemetry").alias("own"),
     )
     assert rows(got) == sorted(((i, *x[1:]) for i, x in enumerate(XML)), key=repr)
 

@@ -40,7 +40,7 @@ def inputs(spark, counters, waits):
         ),
         plan_attributes=spark.createDataFrame([(h, "dbid", "1") for h in handles], PLAN_ATTRIBUTES),
         plan_xml=spark.createDataFrame(
-            [(h, xml(schema="oqs" if h == b"own" else "dbo")) for h in handles], PLAN_XML
+            [(h, xml(schema="telemetry" if h == b"own" else "dbo")) for h in handles], PLAN_XML
         ),
         query_stats=spark.createDataFrame(stats, STATS),
         sql_text=spark.createDataFrame([(h, f"select '{h.decode()}'") for h in handles], SQL_TEXT),

@@ -18,7 +18,7 @@ from tidemark.sources import ingest, log
 from tidemark.sources.tables import cut_lineage
 from tidemark.store import Inputs, Store
 
-OWN_SCHEMA = "oqs"
+OWN_SCHEMA = "telemetry"
 
 
 @dataclass(frozen=True)

@@ -28,7 +28,7 @@ EVICT_HOURS = 72
 RETENTION_DAYS = 1
 DAY = timedelta(hours=24)
 EIGHT_DAYS = timedelta(hours=192)
-OWN_SCHEMA = "oqs"
+OWN_SCHEMA = "telemetry"
 NAMESPACE = "urn:example:showplan"
 MONITORED_REGIONS = (1, 3)
 
