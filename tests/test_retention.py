@@ -1,7 +1,12 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from tests import builders as b
 from tests.conftest import rows, ts
+from tidemark.schemas import STORE_TABLES
+from tidemark.sources.cleanup import cleanup
+from tidemark.sources.tables import write_store
 from tidemark.operators.retention import exclude_query, purge, retention, retention_candidates
 
 
@@ -15,6 +20,7 @@ def store(spark):
             (2, 1, 1, 1, ts(day=2)), (2, 2, 1, 1, ts(day=3)),
             (3, 1, 1, 1, ts(day=4)),
             (4, 1, 1, 1, ts(day=5)),
+            (4, 3, 1, 1, ts(day=5)),
             (8, 1, 1, 1, ts(day=1)),
         ],
     )
@@ -33,6 +39,16 @@ def store(spark):
     )
 
 
+def complete(df, name):
+    """A frame with the columns of a store table it lacks as NULLs."""
+    return df.select(
+        *[
+            F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in STORE_TABLES[name].fields
+        ]
+    )
+
+
 def shape(s):
     return (
         rows(s.query_runtime_stats, "query_id", "interval_id"),
@@ -51,7 +67,7 @@ def test_candidates_must_still_exist(store):
 def test_cascade(store):
     kept = retention(store, ts(day=10), 5)
     runtime, queries, plans, waits, log = shape(kept)
-    assert runtime == [(1, 1), (1, 2), (4, 1), (8, 1)]
+    assert runtime == [(1, 1), (1, 2), (4, 1), (4, 3), (8, 1)]
     assert queries == [(1,), (4,), (5,)]
     # Plan 10 still has query 1; plan 14 never had one but belongs to no candidate.
     assert plans == [(10,), (12,), (13,), (14,)]
@@ -82,6 +98,23 @@ def test_throttle_leaves_orphans_that_are_not_found_again(store):
     assert shape(again)[2] == [(10,), (12,), (13,), (14,)]
 
 
+@pytest.mark.parametrize("max_rows", [None, 1])
+def test_cleanup_of_stored_files_equals_retention(spark, store, tmp_path, max_rows):
+    root = str(tmp_path / "store")
+    full = store.with_frames(
+        plans=complete(store.plans, "plans"), queries=complete(store.queries, "queries")
+    )
+    write_store(full, root)
+    untouched = {f.name for f in (tmp_path / "store/query_runtime_stats/interval_id=3").glob("*.parquet")}
+    got = cleanup(spark, root, ts(day=10), 5, max_rows)
+    first = shape(got)
+    assert first == shape(retention(store, ts(day=10), 5, max_rows))
+    assert {f.name for f in (tmp_path / "store/query_runtime_stats/interval_id=3").glob("*.parquet")} == untouched
+    assert not list((tmp_path / "store").glob("*__*"))
+    again = cleanup(spark, root, ts(day=10), 255)
+    assert shape(again) == first
+
+
 def test_purge_empties_history_only(spark, store):
     full = store.with_frames(
         excluded_queries=b.ids(spark, 1),

@@ -89,16 +89,22 @@ def newest_expired_interval(intervals: DataFrame, before: datetime) -> Column:
     return intervals.agg(F.max(ended).alias("interval_id")).scalar()
 
 
+def expired_waits(
+    waits: DataFrame, intervals: DataFrame, before: datetime, max_rows: int | None = None
+) -> DataFrame:
+    """Keys of the wait rows to remove."""
+    last = newest_expired_interval(intervals, before)
+    return _first(waits.filter(F.col("interval_id") <= last), ["interval_id", "wait_type"], max_rows)
+
+
 def keep_waits(
     waits: DataFrame, intervals: DataFrame, before: datetime, max_rows: int | None = None
 ) -> DataFrame:
     """Wait rows that stay.  On waits stored by interval this reads no expired folder."""
-    last = newest_expired_interval(intervals, before)
     if max_rows is None:
+        last = newest_expired_interval(intervals, before)
         return waits.filter(F.coalesce(F.col("interval_id") > last, F.lit(True)))
-    gone = _first(
-        waits.filter(F.col("interval_id") <= last), ["interval_id", "wait_type"], max_rows
-    )
+    gone = expired_waits(waits, intervals, before, max_rows)
     return waits.join(gone, ["interval_id", "wait_type"], "left_anti")
 
 

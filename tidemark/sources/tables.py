@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,26 +119,48 @@ def replace_intervals(df: DataFrame, root: str, name: str, interval_ids: Sequenc
     """Exchange the intervals that occur in ``df``; repeating it is harmless.
 
     Intervals in ``interval_ids`` of which ``df`` has no row are emptied; all
-    others stay.
+    others stay.  ``df`` may read the table itself: files are exchanged when
+    the new ones are complete.
     """
     if name not in schemas.PARTITIONED_BY:
         raise ValueError(f"{name} is not stored by interval")
+    emptied: set[int] = set()
+    if interval_ids:
+        listed = df.filter(F.col("interval_id").isin(list(interval_ids)))
+        present = {r[0] for r in listed.select("interval_id").distinct().collect()}
+        emptied = set(interval_ids) - present
     (
         _writer(df, name)
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .parquet(f"{root}/{name}")
     )
-    if interval_ids:
-        listed = df.filter(F.col("interval_id").isin(list(interval_ids)))
-        present = {r[0] for r in listed.select("interval_id").distinct().collect()}
-        for interval_id in set(interval_ids) - present:
-            _drop_folder(df.sparkSession, f"{root}/{name}/interval_id={interval_id}")
+    drop_intervals(df.sparkSession, root, name, emptied)
+
+
+def drop_intervals(spark: SparkSession, root: str, name: str, interval_ids: Iterable[int]) -> None:
+    """Remove whole intervals without reading them."""
+    for interval_id in interval_ids:
+        path, fs = _path(spark, f"{root}/{name}/interval_id={interval_id}")
+        fs.delete(path, True)
+
+
+def swap_table(df: DataFrame, root: str, name: str) -> None:
+    """Exchange a whole table, which ``df`` may read, for new files written next to it."""
+    spark = df.sparkSession
+    _writer(df, name).mode("overwrite").parquet(f"{root}/{name}__next")
+    current, fs = _path(spark, f"{root}/{name}")
+    following, _ = _path(spark, f"{root}/{name}__next")
+    previous, _ = _path(spark, f"{root}/{name}__previous")
+    fs.delete(previous, True)
+    if not (fs.rename(current, previous) and fs.rename(following, current)):
+        raise OSError(f"could not exchange {root}/{name}")
+    fs.delete(previous, True)
 
 
-def _drop_folder(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def _path(spark: SparkSession, text: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(text)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def publish_run(changes: Mapping[str, DataFrame], root: str, interval_ids: Sequence[int] = ()) -> None:
