@@ -224,6 +224,11 @@ def table_rows(w: Workload) -> DataFrame:
     return listed.select("table_name", F.col("table_id").cast("long").alias("table_id"), "table_type", "row_count")
 
 
+@query
+def storage_size(w: Workload) -> DataFrame:
+    return reports.storage_size(catalog.table_catalog(w.spark, {t: w.table(t) for t in TABLES}))
+
+
 @query
 def size_budget(w: Workload) -> DataFrame:
     listed = catalog.table_catalog(w.spark, {t: w.table(t) for t in TABLES})

@@ -166,6 +166,7 @@ def test_config_defaults_and_checks():
     assert (config.collection_interval, config.execution_threshold, config.maximum_size_mb) == (60, 2, 100)
     assert (config.data_cleanup_threshold, config.data_cleanup_throttle) == (30, 5000)
     assert not config.collection_active and not config.data_cleanup_active
+    assert config.trigger() == {"processingTime": "60 seconds"}
     assert StoreConfig(mode="Classic").mode == "classic"
     assert StoreConfig(execution_threshold=None).execution_threshold == 2
     for bad in (dict(mode="other"), dict(collection_active=True), dict(data_cleanup_threshold=256)):

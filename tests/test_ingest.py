@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tests import builders as b
 from tests.conftest import rows, ts
 from tidemark.config import StoreConfig
+from tidemark.plans.reports import storage_size
 from tidemark.schemas import CACHED_PLANS, DATABASES, PLAN_ATTRIBUTES, PLAN_DBID, PLAN_XML, QUERY_STATS, SQL_TEXT
 from tidemark.sources import align, catalog, ingest, log
 
@@ -197,7 +198,7 @@ def test_catalog_and_budget(spark, tmp_path):
     listed = catalog.table_catalog(spark, {"t": spark.read.parquet(path), "absent": None})
     size = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
     assert rows(listed) == [("absent", 2, "U", None, None), ("t", 1, "U", 100, -(-size // 1024))]
-    assert rows(catalog.storage_size(listed), "table_name") == [("t",)]
+    assert rows(storage_size(listed), "table_name") == [("t",)]
     assert catalog.within_budget(listed, 1).first()["within_budget"] is True
     assert catalog.within_budget(listed, 0).first()["within_budget"] is False
     empty = catalog.table_catalog(spark, {"absent": None})

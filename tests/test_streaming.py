@@ -117,7 +117,7 @@ def test_repeated_delivery_lands_nothing_twice(spark, tmp_path):
     for attempt in ("first", "second"):
         stream = read_snapshots(spark, path, "wait_stats", 1)
         deliver(stream, append_batches(root, "wait_stats"), tmp_path, attempt)
-        assert rows(read_landed(spark, root, "wait_stats"), *data.columns) == rows(data)
+        assert rows(read_landed(spark, root, "wait_stats")) == rows(data)
 
 
 def test_publish_intervals_exchanges_partitions(spark, tmp_path):

@@ -44,3 +44,7 @@ class StoreConfig:
             raise ValueError("data_cleanup_throttle must not be negative")
         if self.mode == "classic" and self.collection_active and not self.classic_database:
             raise ValueError("classic mode needs classic_database")
+
+    def trigger(self) -> dict[str, str]:
+        """Arguments of ``DataStreamWriter.trigger`` that match the collection interval."""
+        return {"processingTime": f"{self.collection_interval} seconds"}

@@ -91,10 +91,13 @@ def gather(
     budget: DataFrame | None = None,
     own_schema: str = OWN_SCHEMA,
     match_creation_time: bool = True,
+    match_hash: bool = False,
 ) -> Run:
     """Collect one interval.
 
     ``budget`` is a ``within_budget`` frame; leave it out to skip that gate.
+    ``match_creation_time`` and ``match_hash`` are those of ``match_stats`` and
+    ``new_queries``.
     Everything to be written is computed first, into the shared checkpoint
     folder: results build on the ids given to new plans and queries, and
     writing replaces an interval that the differences were taken from.
@@ -134,7 +137,7 @@ def gather(
     plans = captured.join(own, "plan_id", "left_anti")
 
     statements = ingest.new_queries(
-        store.plans.unionByName(plans), stats, inputs.sql_text, store.queries
+        store.plans.unionByName(plans), stats, inputs.sql_text, store.queries, match_hash
     )
     query_key = [
         "query_plan_fingerprint",

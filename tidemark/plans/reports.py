@@ -194,6 +194,11 @@ def item_count(store: Store) -> DataFrame:
     )
 
 
+def storage_size(catalog: DataFrame) -> DataFrame:
+    """KB by table for tables with storage, out of a ``table_catalog`` frame."""
+    return catalog.filter(F.col("size_kb").isNotNull()).select("table_name", "size_kb")
+
+
 def last_log(store: Store) -> DataFrame:
     """All messages of the latest run."""
     latest = store.activity_log.agg(F.max("log_run_id")).scalar()

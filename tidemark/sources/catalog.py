@@ -43,11 +43,6 @@ def table_catalog(spark: SparkSession, tables: Mapping[str, DataFrame | None]) -
     return listed.join(usage, "table_name", "left")
 
 
-def storage_size(catalog: DataFrame) -> DataFrame:
-    """The catalog as the storage chart shows it: tables with storage, by name and KB."""
-    return catalog.filter(F.col("size_kb").isNotNull()).select("table_name", "size_kb")
-
-
 def within_budget(catalog: DataFrame, maximum_mb: int) -> DataFrame:
     """One row telling whether the tables together stay under the limit.
 

@@ -49,4 +49,5 @@ def publish_intervals(root: str, name: str) -> Callable[[DataFrame, int], None]:
 
 def read_landed(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The landed rows as a batch frame, without the batch id."""
-    return spark.read.schema(STORE_TABLES[name]).parquet(f"{root}/{name}")
+    landed = spark.read.schema(STORE_TABLES[name]).parquet(f"{root}/{name}")
+    return landed.select(*STORE_TABLES[name].names)
