@@ -144,6 +144,18 @@ def test_gates(spark, root):
     assert list(full.changes) == ["activity_log"] and rows(full.changes["activity_log"], "log_run_id") == [(1,)]
 
 
+def test_quiet_runs_log_only_why_they_were_skipped(spark, root):
+    source = inputs(spark, [(b"p1", b"a", 2, 10)], [("IO", 1, 5)])
+    store = read_store(spark, root)
+    config = replace(ACTIVE, data_cleanup_active=True)
+    quiet = gather(source, store, config, ts(1), log_progress=False)
+    assert quiet.changes["activity_log"].isEmpty() and quiet.store.activity_log.isEmpty()
+    assert rows(quiet.changes["queries"], "query_hash") == [(b"a",)]
+    off = StoreConfig(data_cleanup_active=True)
+    skipped = gather(source, store, off, ts(1), log_progress=False)
+    assert rows(skipped.changes["activity_log"], "log_message") == [(log.NOT_ACTIVE,)]
+
+
 def test_cleanup_follows_even_a_skipped_run(spark, root, tmp_path):
     collect(spark, root, inputs(spark, [(b"p1", b"a", 2, 10)], [("IO", 1, 5)]), 1)
     config = StoreConfig(data_cleanup_active=True, data_cleanup_threshold=3)

@@ -92,12 +92,14 @@ def gather(
     own_schema: str = OWN_SCHEMA,
     match_creation_time: bool = True,
     match_hash: bool = False,
+    log_progress: bool = True,
 ) -> Run:
     """Collect one interval.
 
     ``budget`` is a ``within_budget`` frame; leave it out to skip that gate.
     ``match_creation_time`` and ``match_hash`` are those of ``match_stats`` and
-    ``new_queries``.
+    ``new_queries``.  Without ``log_progress`` the log only says why a run was
+    skipped.
     Everything to be written is computed first, into the shared checkpoint
     folder: results build on the ids given to new plans and queries, and
     writing replaces an interval that the differences were taken from.
@@ -110,7 +112,8 @@ def gather(
     if reason is not None:
         entry = log.log_event(log.text_message(spark, reason), log_id + 1, run_id, as_of)
         logged = store.with_frames(activity_log=store.activity_log.unionByName(entry))
-        return _clean(Run(logged, {"activity_log": entry}, {}, reason), config, as_of, run_id, log_id + 1)
+        run = Run(logged, {"activity_log": entry}, {}, reason)
+        return _clean(run, config, as_of, run_id, log_id + 1 if log_progress else None)
 
     interval_id = _scalar(store.intervals, "interval_id") + 1
     stats = inputs.query_stats
@@ -166,20 +169,21 @@ def gather(
     runtime_deltas = cut_lineage(deltas.runtime_delta_step(earlier, runtime))
     wait_deltas = cut_lineage(deltas.wait_delta_step(earlier_waits, waits))
 
-    counted = {
-        ("captured ", " new plan(s)"): captured,
-        ("captured ", " new queries"): queries,
-        ("captured ", " runtime statistics"): runtime_deltas.filter("is_delta"),
-        ("captured ", " wait statistics"): _paired_waits(earlier_waits, waits),
-    }
-    messages = [log.text_message(spark, log.STARTED)]
-    messages += [log.count_message(df, *words) for words, df in counted.items()]
-    messages.append(log.text_message(spark, log.FINISHED))
-    entries = None
-    for i, message in enumerate(messages):
-        entry = log.log_event(message, log_id + 1 + i, run_id, as_of)
-        entries = entry if entries is None else entries.unionByName(entry)
-    entries = cut_lineage(entries)
+    entries = store.activity_log.limit(0)
+    if log_progress:
+        counted = {
+            ("captured ", " new plan(s)"): captured,
+            ("captured ", " new queries"): queries,
+            ("captured ", " runtime statistics"): runtime_deltas.filter("is_delta"),
+            ("captured ", " wait statistics"): _paired_waits(earlier_waits, waits),
+        }
+        messages = [log.text_message(spark, log.STARTED)]
+        messages += [log.count_message(df, *words) for words, df in counted.items()]
+        messages.append(log.text_message(spark, log.FINISHED))
+        for message in messages:
+            log_id += 1
+            entries = entries.unionByName(log.log_event(message, log_id, run_id, as_of))
+        entries = cut_lineage(entries)
 
     changes = {
         "intervals": interval_events(spark, interval_id, as_of),
@@ -210,7 +214,8 @@ def gather(
         activity_log=store.activity_log.unionByName(entries),
     )
     replaced = (interval_id - 1, interval_id)
-    return _clean(Run(after, changes, stages, interval_ids=replaced), config, as_of, run_id, log_id + len(messages))
+    run = Run(after, changes, stages, interval_ids=replaced)
+    return _clean(run, config, as_of, run_id, log_id if log_progress else None)
 
 
 def _paired_waits(earlier: DataFrame, later: DataFrame) -> DataFrame:
@@ -218,13 +223,18 @@ def _paired_waits(earlier: DataFrame, later: DataFrame) -> DataFrame:
     return earlier.join(later.select("wait_type"), "wait_type", "left_semi")
 
 
-def _clean(run: Run, config: StoreConfig, as_of: datetime, run_id: int, log_id: int) -> Run:
-    """Expire history when cleanup is on; this also happens after a skipped collection."""
+def _clean(run: Run, config: StoreConfig, as_of: datetime, run_id: int, log_id: int | None) -> Run:
+    """Expire history when cleanup is on; this also happens after a skipped collection.
+
+    ``log_id`` is the last one used, or None to leave no message.
+    """
     if not config.data_cleanup_active:
         return run
-    spark = run.store.intervals.sparkSession
-    entry = log.log_event(log.text_message(spark, log.CLEANED), log_id + 1, run_id, as_of)
-    changes = {**run.changes, "activity_log": run.changes["activity_log"].unionByName(entry)}
-    store = run.store.with_frames(activity_log=run.store.activity_log.unionByName(entry))
+    store, changes = run.store, run.changes
+    if log_id is not None:
+        message = log.text_message(store.intervals.sparkSession, log.CLEANED)
+        entry = log.log_event(message, log_id + 1, run_id, as_of)
+        changes = {**changes, "activity_log": changes["activity_log"].unionByName(entry)}
+        store = store.with_frames(activity_log=store.activity_log.unionByName(entry))
     kept = retention(store, as_of, config.data_cleanup_threshold, config.data_cleanup_throttle)
     return replace(run, store=kept, changes=changes)
