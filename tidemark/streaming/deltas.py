@@ -72,7 +72,8 @@ def _stepper(
         state.update(tuple(int(v) for v in rows[-1]))
         if wait_ms:
             state.setTimeoutDuration(wait_ms)
-        yield frame(earlier, adjacent)
+        if len(earlier):
+            yield frame(earlier, adjacent)
 
     return step
 
