@@ -7,11 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, mixing, near_dedup, quality_rules, sharding
+from tidemark.llm import (
+    decontaminate,
+    html_text,
+    labelled,
+    language_id,
+    mixing,
+    near_dedup,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    suffix_dedup,
+    toxicity,
+)
 from tidemark.llm.common import table
 
 #: Version of the quality policy in production.
 POLICY = "v2"
+#: Rows that a model learns from at most (of each language, for language identification).
+QUALITY_ROWS = 2000
+TOXICITY_ROWS = 6000
+LANGUAGE_ROWS = 300
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -51,6 +67,11 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.by_first_position(mixed).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 @query
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -66,6 +87,46 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"]).alias("n_repeated_words"),
+        "spans",
+    )
+
+
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rest = labelled.remainder(F.col("doc_id"), 4)
+    tables = language_id.learn(language_id.sample(docs, rest != 2, LANGUAGE_ROWS))
+    return language_id.identify(docs, tables).select("doc_id", (rest == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rest = labelled.remainder(F.col("doc_id"), 3)
+    lexicon = toxicity.learn(labelled.sample(docs, labels, "toxic", rest != 1, TOXICITY_ROWS))
+    return toxicity.score(docs, lexicon).select(
+        "doc_id", (rest == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        F.size("hits").cast("long").alias("n_hits"),
+    )
+
+
 @query
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rest = labelled.remainder(F.col("doc_id"), 4)
+    model = quality_classifier.train(labelled.sample(docs, labels, "quality", rest != 2, QUALITY_ROWS))
+    return quality_classifier.score(docs, model).select(
+        "doc_id", (rest == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
