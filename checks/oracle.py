@@ -1,7 +1,7 @@
 """SQL counterparts of the registered queries, for DuckDB over the same tables.
 
 Written from the meaning of each query rather than from its Spark plan: counters
-as each run sees them are found by brute force, a join of hours and events.
+as each run sees them are hourly sums, added up along the hours.
 """
 
 from __future__ import annotations
@@ -48,17 +48,32 @@ INTERVALS = (
           FROM (SELECT date_diff('hour', {EPOCH}, max(ts)) AS last_h FROM events))
 """,
 )
+HOURS = (
+    "hours",
+    "SELECT user_id, event_type, user_id % 20 AS slot, "
+    f"CAST(date_diff('hour', {EPOCH}, date_trunc('hour', ts)) + 2 AS INTEGER) AS interval_id, "
+    "max(ts) AS last_at, count(*) AS n, sum(event_id % 11) AS signal, "
+    + ", ".join(
+        f'sum("{m}") AS sum_{m}, arg_max("{m}", ts) AS last_{m}, min("{m}") AS min_{m}, max("{m}") AS max_{m}'
+        for m in METRICS
+    )
+    + " FROM measured GROUP BY ALL",
+)
 HANDLES = (
     "handles",
-    "SELECT user_id, event_type, interval_id, max(ts) AS last_execution_time, "
-    "count(*) AS execution_count, "
+    "SELECT * FROM (SELECT k.user_id, k.event_type, iv.interval_id, iv.interval_start, "
+    "max(last_at) OVER past AS last_execution_time, sum(n) OVER past AS execution_count, "
     + ", ".join(
-        f'sum("{m}") AS total_{m}, arg_max("{m}", ts) AS last_{m}, '
-        f'min("{m}") AS min_{m}, max("{m}") AS max_{m}'
+        f"sum(sum_{m}) OVER past AS total_{m}, last_value(last_{m} IGNORE NULLS) OVER past AS last_{m}, "
+        f"min(min_{m}) OVER past AS min_{m}, max(max_{m}) OVER past AS max_{m}"
         for m in METRICS
     )
-    + " FROM iv JOIN measured ON ts < interval_start GROUP BY ALL "
-    "HAVING max(ts) >= any_value(interval_start) - INTERVAL 72 HOUR",
+    + " FROM (SELECT user_id, event_type, min(interval_id) AS first_id FROM hours GROUP BY ALL) k "
+    "JOIN iv ON iv.interval_id >= k.first_id LEFT JOIN hours h "
+    "ON h.user_id = k.user_id AND h.event_type = k.event_type AND h.interval_id = iv.interval_id "
+    "WINDOW past AS (PARTITION BY k.user_id, k.event_type ORDER BY iv.interval_id "
+    "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) "
+    "WHERE last_execution_time >= interval_start - INTERVAL 72 HOUR",
 )
 BORN = ("born", "SELECT user_id, min(ts) AS creation_time FROM events GROUP BY user_id")
 SNAP = (
@@ -99,19 +114,32 @@ def delta_body(zeroed: bool = False) -> str:
 
 
 DELTA = ("qrs", delta_body())
-RUNTIME = (MEASURED, INTERVALS, HANDLES, BORN, SNAP)
+RUNTIME = (MEASURED, INTERVALS, HOURS, HANDLES, BORN, SNAP)
 HISTORY = (*RUNTIME, DELTA)
 
 WAIT_SNAP = (
     "wsnap",
     """
-    SELECT interval_id, event_type || '_' || CAST(user_id % 20 AS VARCHAR) AS wait_type,
-           count(*) AS waiting_tasks_count, CAST(sum(elapsed_time) AS BIGINT) AS wait_time_ms,
-           max(elapsed_time) AS max_wait_time_ms, CAST(sum(event_id % 11) AS BIGINT) AS signal_wait_time_ms
-    FROM iv JOIN measured ON ts < interval_start
-    GROUP BY 1, 2 HAVING count(*) > 0 AND sum(elapsed_time) > 0
+    SELECT * FROM (
+        SELECT iv.interval_id, k.wait_type,
+               CAST(sum(n) OVER past AS BIGINT) AS waiting_tasks_count,
+               CAST(sum(elapsed) OVER past AS BIGINT) AS wait_time_ms,
+               max(longest) OVER past AS max_wait_time_ms,
+               CAST(sum(signal) OVER past AS BIGINT) AS signal_wait_time_ms
+        FROM (SELECT wait_type, min(interval_id) AS first_id FROM by_type GROUP BY wait_type) k
+        JOIN iv ON iv.interval_id >= k.first_id
+        LEFT JOIN by_type b ON b.wait_type = k.wait_type AND b.interval_id = iv.interval_id
+        WINDOW past AS (PARTITION BY k.wait_type ORDER BY iv.interval_id
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    ) WHERE waiting_tasks_count > 0 AND wait_time_ms > 0
 """,
 )
+BY_TYPE = (
+    "by_type",
+    "SELECT event_type || '_' || CAST(slot AS VARCHAR) AS wait_type, interval_id, sum(n) AS n, "
+    "sum(sum_elapsed_time) AS elapsed, max(max_elapsed_time) AS longest, sum(signal) AS signal "
+    "FROM hours GROUP BY 1, 2",
+)
 WAIT_DELTA = (
     "ws",
     "SELECT * FROM (SELECT s.interval_id, s.wait_type, "
@@ -122,7 +150,7 @@ WAIT_DELTA = (
     "ON n.wait_type = s.wait_type AND n.interval_id = s.interval_id + 1) "
     "WHERE NOT (is_delta AND waiting_tasks_count = 0)",
 )
-WAITS = (MEASURED, INTERVALS, WAIT_SNAP, WAIT_DELTA)
+WAITS = (MEASURED, INTERVALS, HOURS, BY_TYPE, WAIT_SNAP, WAIT_DELTA)
 FILTERED = (
     "filtered",
     "SELECT DISTINCT 'error_' || CAST(user_id % 20 AS VARCHAR) AS wait_type FROM events "
@@ -428,7 +456,7 @@ ORACLE: dict[str, str] = {
     FROM (SELECT 1 AS i, 'captured ' || count(*) || ' new plan(s)' AS log_message FROM new_handles
           UNION ALL SELECT 2, 'captured ' || count(*) || ' new queries' FROM queries)""",
     "exclude_query": ctes(EXCLUDED) + "SELECT query_id FROM excluded UNION SELECT 4",
-    "wait_snapshot": ctes(MEASURED, INTERVALS, WAIT_SNAP) + "SELECT * FROM wsnap",
+    "wait_snapshot": ctes(MEASURED, INTERVALS, HOURS, BY_TYPE, WAIT_SNAP) + "SELECT * FROM wsnap",
     "runtime_snapshot": ctes(*RUNTIME) + "SELECT * FROM snap",
     "intervals": ctes(INTERVALS) + "SELECT * FROM iv",
     "closed_intervals": ctes(INTERVALS, recent(24)) + "SELECT * FROM recent",
@@ -462,7 +490,7 @@ ORACLE: dict[str, str] = {
     "io": database_report(24, ["avg_logical_reads", "avg_logical_writes"]),
     "elapsed_time": database_report(192, ["avg_elapsed_time"]),
     "item_count": ctes(
-        *HISTORY, WAIT_SNAP, WAIT_DELTA, QUERIES, PLANS,
+        *HISTORY, BY_TYPE, WAIT_SNAP, WAIT_DELTA, QUERIES, PLANS,
         ("per_query", "SELECT query_id, count(*) AS n FROM qrs GROUP BY 1"),
     )
     + """
@@ -518,7 +546,7 @@ ORACLE: dict[str, str] = {
     SELECT query_id, interval_id, execution_count FROM qrs
     WHERE (query_id, interval_id) NOT IN (SELECT (query_id, interval_id) FROM gone)""",
     "gather_run": ctes(
-        *HANDLE_PARTS, XML, STATEMENTS, MEASURED, INTERVALS, WAIT_SNAP,
+        *HANDLE_PARTS, XML, STATEMENTS, MEASURED, INTERVALS, HOURS, BY_TYPE, WAIT_SNAP,
         (
             "captured",
             """
