@@ -47,8 +47,8 @@ def segments(knots: Column) -> Column:
         piece,
         lambda p, i: F.struct(
             *[p[f].alias(f) for f in ("t0", "length", "w0", "w1")],
-            (F.aggregate(F.slice(piece, 1, i), F.lit(0.0), lambda total, q: total + area(q)) / whole).alias("from"),
-            (F.aggregate(F.slice(piece, 1, i + 1), F.lit(0.0), lambda total, q: total + area(q)) / whole).alias("to"),
+            F.try_divide(F.aggregate(F.slice(piece, 1, i), F.lit(0.0), lambda total, q: total + area(q)), whole).alias("from"),
+            F.try_divide(F.aggregate(F.slice(piece, 1, i + 1), F.lit(0.0), lambda total, q: total + area(q)), whole).alias("to"),
         ),
     )
 
@@ -60,27 +60,13 @@ def position(share: Column, pieces: Column) -> Column:
     quadratic function of time.
     """
     piece = F.element_at(F.concat(F.filter(pieces, lambda p: share < p["to"]), F.slice(pieces, -1, 1)), 1)
-    found = F.transform(
-        F.array(piece),
-        lambda p: p["t0"]
-        + p["length"]
-        * F.when(
-            p["to"] > p["from"],
-            # share of the piece's area -> share of its length, in a form that holds for flat pieces
-            ((share - p["from"]) / (p["to"] - p["from"]))
-            * (p["w0"] + p["w1"])
-            / (
-                p["w0"]
-                + F.sqrt(
-                    F.greatest(
-                        p["w0"] * p["w0"]
-                        + (p["w1"] * p["w1"] - p["w0"] * p["w0"]) * ((share - p["from"]) / (p["to"] - p["from"])),
-                        F.lit(0.0),
-                    )
-                )
-            ),
-        ).otherwise(0.0),
+    part = lambda p: F.coalesce(F.try_divide(share - p["from"], p["to"] - p["from"]), F.lit(0.0))
+    # share of the piece's area -> share of its length, in a form that holds for flat pieces
+    root = lambda p: F.sqrt(
+        F.greatest(p["w0"] * p["w0"] + (p["w1"] * p["w1"] - p["w0"] * p["w0"]) * part(p), F.lit(0.0))
     )
+    along = lambda p: F.coalesce(F.try_divide(part(p) * (p["w0"] + p["w1"]), p["w0"] + root(p)), F.lit(0.0))
+    found = F.transform(F.array(piece), lambda p: p["t0"] + p["length"] * along(p))
     return F.element_at(found, 1)
 
 
