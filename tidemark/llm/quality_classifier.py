@@ -81,12 +81,13 @@ def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(
-    rows: list[tuple[bytes, int]], dim: int = 8, epochs: int = 12, rate: float = 4.0, seed: int = 7
+    rows: list[tuple[bytes, int]], dim: int = 8, epochs: int = 12, rate: float = 1.0, seed: int = 7
 ) -> Model:
     """Fit vectors and output weights by stochastic gradient descent on (text, 0 or 1) rows.
 
     A document is the mean of the vectors of its n-grams; a softmax over two outputs gives the
-    probability of the label.  Without rows every score is one half.
+    probability of the label.  A step moves a document's mean by the same amount however long the
+    document is, and steps shrink to nothing over the epochs.  Without rows every score is one half.
     """
     random = np.random.default_rng(seed)
     vectors = random.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
@@ -105,9 +106,9 @@ def train(
             error[label] -= 1
             now = rate * (1 - step / steps)
             back = error @ weights
-            weights -= now * 0.05 * np.outer(error, mean)
-            bias -= now * 0.02 * error
-            vectors[ids] -= (now * 10) * shares[:, None] * back[None, :]
+            weights -= now * 0.1 * np.outer(error, mean)
+            bias -= now * 0.05 * error
+            vectors[ids] -= (now / (shares @ shares)) * shares[:, None] * back[None, :]
             step += 1
     return Model((vectors @ (weights[1] - weights[0])).astype(np.float32), float(bias[1] - bias[0]))
 
