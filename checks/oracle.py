@@ -6,6 +6,8 @@ as each run sees them are hourly sums, added up along the hours.
 
 from __future__ import annotations
 
+from tidemark.schemas import QUERY_STATS, VERSIONED_COLUMNS
+
 METRICS = ("elapsed_time", "rows", "worker_time", "physical_reads", "logical_reads", "logical_writes")
 TOTALS = [f"total_{m}" for m in METRICS]
 COUNTERS = ["execution_count", *TOTALS]
@@ -173,7 +175,7 @@ LOG = (
     "log",
     f"""
     SELECT conv_id * 1000 + turn AS log_id, conv_id AS log_run_id,
-           {EPOCH} + to_hours(conv_id * 71 % 720) AS log_timestamp, substring(text, 1, 250) AS log_message
+           {EPOCH} + to_hours(conv_id * 71 % 720) AS log_timestamp, text AS log_message
     FROM conversations
 """,
 )
@@ -325,22 +327,43 @@ CAPTURED_QUERIES = f"""
     WHERE p.query_hash || p.query_plan_hash || s.query_hash NOT IN
         (SELECT query_hash || query_plan_hash || query_hash FROM statements WHERE l_partkey % 13 = 0)"""
 
+SERVER_VERSIONS = ("9.0.4035.0", "10.0.1600.0", "10.50.2500.0", "12.0.2000.8", "13.0.1601.5")
 VERSIONS = (
     "versions",
-    f"""
-    SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '10.0.1600.0' WHEN 1 THEN '10.50.2500.0'
-           ELSE '12.0.2000.8' END AS version, CAST(p_size AS BIGINT) AS n,
-           {hexid('p_partkey')} AS handle FROM part
-""",
+    f"SELECT p_partkey, CAST(p_size AS BIGINT) AS n, [{', '.join(repr(v) for v in SERVER_VERSIONS)}]"
+    "[p_partkey % 5 + 1] AS version FROM part",
 )
 PARTS = (
     "parts",
     """
-    SELECT *, CAST(split_part(version, '.', 1) AS INTEGER) AS major,
-           CAST(split_part(version, '.', 2) AS INTEGER) AS minor,
-           CAST(split_part(version, '.', 3) AS INTEGER) AS build FROM versions
+    SELECT *, CAST(split_part(version, '.', 1) AS BIGINT) AS major,
+           CAST(split_part(version, '.', 2) AS BIGINT) AS minor,
+           CAST(split_part(version, '.', 3) AS BIGINT) AS build FROM versions
 """,
 )
+KINDS = {"BinaryType": "VARCHAR", "LongType": "BIGINT", "IntegerType": "INTEGER", "TimestampNTZType": "TIMESTAMP"}
+
+
+def aligned() -> str:
+    """Every column of the common schema: 0 or NULL where the part's server is older than the column."""
+    out = []
+    for i, field in enumerate(QUERY_STATS.fields):
+        kind = KINDS[type(field.dataType).__name__]
+        value = {
+            "VARCHAR": hexid(f"p_partkey % {70 + i}"),
+            "BIGINT": f"n * {i + 1}",
+            "INTEGER": f"CAST(p_partkey % {7 + i} AS INTEGER)",
+            "TIMESTAMP": f"{EPOCH} + to_hours(p_partkey % {70 + i})",
+        }[kind]
+        if field.name in VERSIONED_COLUMNS:
+            major, minor, build = VERSIONED_COLUMNS[field.name]
+            bound = (major * 1000 + minor) * 100000 + build
+            missing = "0" if kind == "BIGINT" and field.name != "statement_context_id" else "NULL"
+            value = f"CASE WHEN (major * 1000 + minor) * 100000 + build >= {bound} THEN {value} ELSE {missing} END"
+        out.append(f"CAST({value} AS {kind}) AS {field.name}")
+    return ", ".join(out)
+
+
 HAS_ROWS = "(major * 1000 + minor) * 100000 + build >= 1005002500"
 
 # -- retention ---------------------------------------------------------------
@@ -396,22 +419,11 @@ ORACLE: dict[str, str] = {
     SELECT doc_id, CAST(2 * length(text) AS BIGINT) AS text_bytes,
         substring(text, s // 2 + 1, (CASE WHEN e = -1 THEN 2 * length(text) ELSE e END - s) // 2 + 1) AS statement_text
     FROM (SELECT doc_id, text, {offsets('doc_id')[0]} AS s, {offsets('doc_id')[1]} AS e FROM documents)""",
-    "align_schema": ctes(VERSIONS, PARTS) + f"""
-    SELECT handle AS sql_handle, handle AS plan_handle, n AS execution_count, 2 * n AS total_worker_time,
-        3 * n AS total_elapsed_time, {hexid('p_partkey % 97')} AS query_hash,
-        {hexid('p_partkey % 89')} AS query_plan_hash,
-        {', '.join(f"CASE WHEN {HAS_ROWS} THEN n ELSE 0 END AS {s}_rows" for s in ('total', 'last', 'min', 'max'))},
-        CASE WHEN major >= 12 THEN {hexid('p_partkey % 83')} END AS statement_sql_handle,
-        CAST(NULL AS BIGINT) AS statement_context_id, CAST(0 AS BIGINT) AS total_dop,
-        CAST(0 AS BIGINT) AS max_used_threads
-    FROM parts""",
-    "align_union": ctes(VERSIONS, PARTS) + f"""
-    SELECT handle AS plan_handle, n AS execution_count, CASE WHEN {HAS_ROWS} THEN n ELSE 0 END AS total_rows,
-        CASE WHEN major >= 12 THEN {hexid('p_partkey % 83')} END AS statement_sql_handle,
-        CAST(0 AS BIGINT) AS total_dop
-    FROM parts""",
+    "align_schema": ctes(VERSIONS, PARTS) + f"SELECT {aligned()} FROM parts",
+    "align_union": ctes(VERSIONS, PARTS) + f"SELECT {aligned()} FROM parts",
     "version_parts": ctes(VERSIONS, PARTS)
-    + f"SELECT p_partkey, major, minor, build, {HAS_ROWS} AS has_rows, major >= 12 AS has_statement_handle FROM parts",
+    + f"SELECT p_partkey, major, minor, build, major >= 10 AS has_hashes, {HAS_ROWS} AS has_rows, "
+    "major >= 13 AS has_grants, major >= 12 AS has_statement_handle FROM parts",
     "plan_optimization": ctes(XML) + """
     SELECT p_partkey AS plan_id, CASE WHEN query_plan NOT LIKE '%</ShowPlanXML>' THEN NULL
         WHEN level = 'T' THEN 'Trivial' WHEN level = 'F' THEN 'Full' END AS plan_optimization,
@@ -465,7 +477,8 @@ ORACLE: dict[str, str] = {
     "runtime_delta": ctes(*HISTORY) + "SELECT * FROM qrs",
     "runtime_delta_strict": ctes(*HISTORY) + "SELECT * FROM qrs WHERE is_delta",
     "runtime_delta_zeroed": ctes(*RUNTIME, ("qrs", delta_body(zeroed=True)))
-    + f"SELECT query_id, interval_id, {', '.join(COUNTERS)}, avg_elapsed_time FROM qrs",
+    + "SELECT * FROM qrs",
+    "runtime_delta_blocks": ctes(*HISTORY) + "SELECT * FROM qrs",
     "runtime_delta_latest": ctes(*HISTORY)
     + "SELECT * FROM qrs WHERE interval_id = (SELECT max(interval_id) - 1 FROM iv)",
     "wait_delta": ctes(*WAITS) + "SELECT * FROM ws",
@@ -524,7 +537,7 @@ ORACLE: dict[str, str] = {
     "FROM per_interval",
     "retention_candidates": ctes(*AGING) + "SELECT * FROM candidates",
     "retention_stats": ctes(*AGING)
-    + "SELECT query_id, interval_id, execution_count FROM qrs "
+    + "SELECT * FROM qrs "
     "WHERE query_id NOT IN (SELECT query_id FROM candidates)",
     "retention_queries": ctes(*AGING) + "SELECT query_id, plan_id FROM kept_queries",
     "retention_plans": ctes(*AGING) + """
@@ -533,7 +546,7 @@ ORACLE: dict[str, str] = {
     "retention_waits": ctes(*WAITS) + f"""
     SELECT * EXCLUDE (is_delta) FROM ws
     WHERE interval_id > (SELECT max(interval_id) FROM iv WHERE interval_end < {CUTOFF})""",
-    "retention_log": ctes(LOG) + f"SELECT log_id, log_run_id FROM log WHERE log_timestamp >= {CUTOFF}",
+    "retention_log": ctes(LOG) + f"SELECT * FROM log WHERE log_timestamp >= {CUTOFF}",
     "retention_throttled": ctes(
         *AGING,
         (
@@ -543,7 +556,7 @@ ORACLE: dict[str, str] = {
         ),
     )
     + """
-    SELECT query_id, interval_id, execution_count FROM qrs
+    SELECT * FROM qrs
     WHERE (query_id, interval_id) NOT IN (SELECT (query_id, interval_id) FROM gone)""",
     "gather_run": ctes(
         *HANDLE_PARTS, XML, STATEMENTS, MEASURED, INTERVALS, HOURS, BY_TYPE, WAIT_SNAP,
@@ -583,3 +596,16 @@ ORACLE: dict[str, str] = {
     GROUP BY 1, 2, 3
     HAVING interval_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
 }
+
+
+def charted(name: str, keys: str, values: tuple[str, ...]) -> str:
+    """Sums that a chart takes over a report."""
+    sums = ", ".join(f"CAST(sum({v}) AS BIGINT) AS {v}" for v in values)
+    return f"SELECT {keys}, {sums} FROM ({ORACLE[name]}) GROUP BY ALL"
+
+
+ORACLE["item_count_chart"] = charted("item_count", "database", ("queries", "plans", "runtime_stats"))
+ORACLE["io_chart"] = charted("io", "time_date, database_name", ("avg_logical_reads", "avg_logical_writes"))
+ORACLE["elapsed_time_chart"] = charted("elapsed_time", "time_date, database_name", ("avg_elapsed_time",))
+ORACLE["wait_time_chart"] = charted("wait_time_per_interval", "time_date", ("total_wait_time", "waiting_tasks"))
+ORACLE["top3_waits_chart"] = charted("top3_waits", "time_date, wait_type", ("wait_time_ms",))

@@ -11,20 +11,27 @@ from pyspark.sql import types as T
 
 from tidemark.config import StoreConfig
 from tidemark.functions.text import utf16_length, utf16_slice
-from tidemark.functions.versions import at_least, version_parts
+from tidemark.functions.versions import at_least, parse_version, version_parts
 from tidemark.operators import deltas, intervals, relational, retention, snapshots
 from tidemark.plans import charts, reports
 from tidemark.plans.gather import gather
-from tidemark.schemas import QUERY_STATS, ROWS_SINCE, STATEMENT_HANDLE_SINCE, STORE_TABLES
+from tidemark.schemas import (
+    GRANTS_SINCE,
+    HASHES_SINCE,
+    ROWS_SINCE,
+    STATEMENT_HANDLE_SINCE,
+    STORE_TABLES,
+    VERSIONED_COLUMNS,
+)
 from tidemark.sources import align, catalog, ingest, log
 from tidemark.sources.tables import shared_folder
 from tidemark.sources.workload import (
     AS_OF,
-    COUNTERS_OF_ALL_VERSIONS,
     DAY,
     EIGHT_DAYS,
     OWN_SCHEMA,
     RETENTION_DAYS,
+    SERVER_VERSIONS,
     Workload,
 )
 from tidemark.store import empty_store
@@ -118,12 +125,12 @@ def new_plans(w: Workload) -> DataFrame:
 
 @query
 def new_queries(w: Workload) -> DataFrame:
-    return hexed(_new_queries(w))
+    return hexed(_new_queries(w, match_hash=False))
 
 
 @query
 def new_queries_matched(w: Workload) -> DataFrame:
-    return hexed(_new_queries(w, match_hash=True))
+    return hexed(_new_queries(w))
 
 
 @query
@@ -145,37 +152,17 @@ def statement_slice(w: Workload) -> DataFrame:
 
 @query
 def align_schema(w: Workload) -> DataFrame:
-    carried = (
-        "sql_handle",
-        "plan_handle",
-        *COUNTERS_OF_ALL_VERSIONS,
-        "query_hash",
-        "query_plan_hash",
-        *[f"{s}_rows" for s in ("total", "last", "min", "max")],
-        "statement_sql_handle",
-        "statement_context_id",
-        "total_dop",
-        "max_used_threads",
-    )
-    schema = T.StructType([QUERY_STATS[c] for c in carried])
-    return hexed(align.align_query_stats(w.versioned_stats(), F.col("version"), schema))
+    return hexed(align.align_query_stats(w.versioned_stats(), F.col("version")))
 
 
 @query
 def align_union(w: Workload) -> DataFrame:
     """The same, one frame per server version, with the columns that version has."""
-    carried = ("plan_handle", "execution_count", "total_rows", "statement_sql_handle", "total_dop")
-    schema = T.StructType([QUERY_STATS[c] for c in carried])
-    stats, out = w.versioned_stats(), None
-    for version, missing in (
-        ("10.0.1600.0", ["total_rows", "statement_sql_handle"]),
-        ("10.50.2500.0", ["statement_sql_handle"]),
-        ("12.0.2000.8", []),
-    ):
-        part = stats.filter(F.col("version") == version).drop("version", *missing)
-        part = align.align_query_stats(part, version, schema)
-        out = part if out is None else out.unionByName(part)
-    return hexed(out)
+    stats, parts = w.versioned_stats(), []
+    for version in SERVER_VERSIONS:
+        missing = [c for c, since in VERSIONED_COLUMNS.items() if parse_version(version) < since]
+        parts.append((stats.filter(F.col("version") == version).drop(*missing), version))
+    return hexed(align.union_versions(parts))
 
 
 @query
@@ -186,7 +173,9 @@ def version_parts_matrix(w: Workload) -> DataFrame:
         parts["major"].alias("major"),
         parts["minor"].alias("minor"),
         parts["build"].alias("build"),
+        at_least(parts, HASHES_SINCE).alias("has_hashes"),
         at_least(parts, ROWS_SINCE).alias("has_rows"),
+        at_least(parts, GRANTS_SINCE).alias("has_grants"),
         at_least(parts, STATEMENT_HANDLE_SINCE).alias("has_statement_handle"),
     )
 
@@ -323,9 +312,13 @@ def runtime_delta_strict(w: Workload) -> DataFrame:
 
 @query
 def runtime_delta_zeroed(w: Workload) -> DataFrame:
-    return deltas.runtime_delta(w.runtime_snapshots(), on_reset="zero").select(
-        "query_id", "interval_id", *deltas.RUNTIME_COUNTERS, "avg_elapsed_time"
-    )
+    return deltas.runtime_delta(w.runtime_snapshots(), on_reset="zero")
+
+
+@query
+def runtime_delta_blocks(w: Workload) -> DataFrame:
+    """The same history cut into blocks of a day, which every query crosses."""
+    return deltas.runtime_delta(w.runtime_snapshots(), block=24)
 
 
 @query
@@ -403,6 +396,24 @@ def item_count(w: Workload) -> DataFrame:
     return reports.item_count(w.store("query_runtime_stats", "wait_stats", "intervals", "queries", "plans"))
 
 
+@query
+def item_count_chart(w: Workload) -> DataFrame:
+    store = w.store("query_runtime_stats", "wait_stats", "intervals", "queries", "plans")
+    return charts.chart_sums(reports.item_count(store), "database", ["queries", "plans", "runtime_stats"])
+
+
+@query
+def io_chart(w: Workload) -> DataFrame:
+    frame = reports.io(w.store(*RUNTIME), AS_OF, DAY)
+    return charts.chart_sums(frame, "time_date", ["avg_logical_reads", "avg_logical_writes"], "database_name")
+
+
+@query
+def elapsed_time_chart(w: Workload) -> DataFrame:
+    frame = reports.elapsed_time(w.store(*RUNTIME), AS_OF, EIGHT_DAYS)
+    return charts.chart_sums(frame, "time_date", ["avg_elapsed_time"], "database_name")
+
+
 @query
 def last_log(w: Workload) -> DataFrame:
     return reports.last_log(w.store("activity_log"))
@@ -461,6 +472,18 @@ def wait_time_per_interval(w: Workload) -> DataFrame:
     return reports.wait_time_per_interval(w.store(*WAITS), AS_OF, DAY)
 
 
+@query
+def top3_waits_chart(w: Workload) -> DataFrame:
+    frame = reports.top3_waits(w.store(*WAITS), AS_OF, DAY)
+    return charts.chart_sums(frame, "time_date", ["wait_time_ms"], "wait_type")
+
+
+@query
+def wait_time_chart(w: Workload) -> DataFrame:
+    frame = reports.wait_time_per_interval(w.store(*WAITS), AS_OF, DAY)
+    return charts.chart_sums(frame, "time_date", ["total_wait_time", "waiting_tasks"])
+
+
 @query
 def wait_percent(w: Workload) -> DataFrame:
     return charts.percent_of_total(reports.top_waits(w.store(*WAITS), AS_OF, DAY), "total_wait_time")
@@ -497,8 +520,7 @@ def retention_candidates(w: Workload) -> DataFrame:
 @query
 def retention_stats(w: Workload) -> DataFrame:
     runtime = _runtime(w)
-    kept = retention.keep_runtime(runtime, _candidates(w, runtime))
-    return kept.select("query_id", "interval_id", "execution_count")
+    return retention.keep_runtime(runtime, _candidates(w, runtime))
 
 
 @query
@@ -521,14 +543,13 @@ def retention_waits(w: Workload) -> DataFrame:
 
 @query
 def retention_log(w: Workload) -> DataFrame:
-    return retention.keep_log(w.activity_log(), CUTOFF).select("log_id", "log_run_id")
+    return retention.keep_log(w.activity_log(), CUTOFF)
 
 
 @query
 def retention_throttled(w: Workload) -> DataFrame:
     runtime = _runtime(w)
-    kept = retention.keep_runtime(runtime, _candidates(w, runtime), THROTTLE)
-    return kept.select("query_id", "interval_id", "execution_count")
+    return retention.keep_runtime(runtime, _candidates(w, runtime), THROTTLE)
 
 
 # -- whole runs and streams ----------------------------------------------------
@@ -541,7 +562,7 @@ def gather_run(w: Workload) -> DataFrame:
     store = empty_store(w.spark).with_frames(
         monitored_databases=w.monitored_databases(), plan_dbid=w.seen_plans()
     )
-    run = gather(w.inputs(), store, config, AS_OF, own_schema=OWN_SCHEMA)
+    run = gather(w.inputs(), store, config, AS_OF, own_schema=OWN_SCHEMA, match_hash=False)
     out = None
     for name, df in sorted(run.changes.items()):
         counted = df.agg(F.count(F.lit(1)).alias("row_count")).select(

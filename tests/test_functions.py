@@ -117,6 +117,9 @@ def test_fingerprint_is_null_with_a_null_part(spark):
         ("10.50.2500.0", (10, 50, 2500), True),
         ("10.51.0.0", (10, 51, 0), True),
         ("11.0.0.0", (11, 0, 0), True),
+        ("12.0.123456789.1", (12, 0, 123456789), True),
+        ("13.0.x", (13, 0, 0), True),
+        ("8.0.5000000000", (8, 0, 5000000000), False),
     ],
 )
 def test_versions(spark, version, parts, has_rows):
@@ -163,13 +166,14 @@ def test_plan_documents(spark):
 
 def test_config_defaults_and_checks():
     config = StoreConfig()
-    assert (config.collection_interval, config.execution_threshold, config.maximum_size_mb) == (60, 2, 100)
-    assert (config.data_cleanup_threshold, config.data_cleanup_throttle) == (30, 5000)
+    assert (config.collection_interval, config.execution_threshold, config.maximum_size_mb) == (60, 2, None)
+    assert (config.data_cleanup_threshold, config.data_cleanup_throttle) == (30, None)
     assert not config.collection_active and not config.data_cleanup_active
     assert config.trigger() == {"processingTime": "60 seconds"}
     assert StoreConfig(mode="Classic").mode == "classic"
+    assert StoreConfig(data_cleanup_threshold=3650).data_cleanup_threshold == 3650
     assert StoreConfig(execution_threshold=None).execution_threshold == 2
-    for bad in (dict(mode="other"), dict(collection_active=True), dict(data_cleanup_threshold=256)):
+    for bad in (dict(mode="other"), dict(collection_active=True), dict(data_cleanup_threshold=-1)):
         with pytest.raises(ValueError):
             StoreConfig(**bad)
 

@@ -70,7 +70,7 @@ def test_stream_delta_gaps_late_and_unsorted_rows(spark, tmp_path):
     stream = stream_delta(read_snapshots(spark, f"{folder}/*", "query_runtime_stats", 1))
     got = run(stream, tmp_path, "out")
     assert rows(got, "interval_id", "execution_count", "total_rows", "avg_rows", "is_delta") == [
-        (2, 2, 20, 10, True), (3, 2, 20, 10, True), (4, 9, 90, 0, False), (6, -6, -60, 10, True),
+        (2, 2, 20, 10, True), (2, 99, 99, 0, False), (3, 2, 20, 10, True), (4, 9, 90, 0, False), (6, -6, -60, 10, True),
     ]
 
 
@@ -132,6 +132,17 @@ def test_publish_intervals_exchanges_partitions(spark, tmp_path):
         assert got == sorted([*rows(data), (0, "old", 1, 1, 1, 1)], key=repr)
 
 
+def test_an_interval_may_come_in_several_batches(spark, tmp_path):
+    root = str(tmp_path / "store")
+    create_store(spark, root)
+    folder = str(tmp_path / "in")
+    for i, data in enumerate([[(9, "a", 1, 1), (9, "b", 1, 1)], [(9, "c", 1, 1), (9, "a", 2, 2)]]):
+        b.waits(spark, data).coalesce(1).write.parquet(f"{folder}/part={i}")
+    deliver(read_snapshots(spark, f"{folder}/*", "wait_stats", 1), publish_intervals(root, "wait_stats"), tmp_path, "state")
+    got = rows(read_store(spark, root).wait_stats, "wait_type", "waiting_tasks_count")
+    assert [w for w, _ in got] == ["a", "b", "c"]
+
+
 def test_publish_keeps_time_zone_free_timestamps(spark, tmp_path):
     root = str(tmp_path / "store")
     store = create_store(spark, root, query_runtime_stats=b.runtime(spark, [(1, 1, 1, 1, ts(2, 30))]))

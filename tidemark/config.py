@@ -12,8 +12,8 @@ class StoreConfig:
     """Settings that steer a collection run.
 
     ``mode`` is compared without regard to case.  ``execution_threshold=None``
-    means the default of 2.  ``data_cleanup_throttle=None`` removes everything
-    that has expired in one go.
+    means the default of 2.  ``maximum_size_mb=None`` sets no limit to the size, and
+    ``data_cleanup_throttle=None`` removes everything that has expired in one go.
     """
 
     collection_active: bool = False
@@ -21,10 +21,10 @@ class StoreConfig:
     mode: str = "classic"
     classic_database: str | None = None
     execution_threshold: int | None = 2
-    maximum_size_mb: int = 100
+    maximum_size_mb: int | None = None
     data_cleanup_active: bool = False
     data_cleanup_threshold: int = 30
-    data_cleanup_throttle: int | None = 5000
+    data_cleanup_throttle: int | None = None
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "mode", self.mode.lower())
@@ -32,13 +32,13 @@ class StoreConfig:
             raise ValueError(f"mode must be one of {MODES}, got {self.mode!r}")
         if self.execution_threshold is None:
             object.__setattr__(self, "execution_threshold", 2)
-        if not 0 <= self.execution_threshold <= 255:
-            raise ValueError("execution_threshold must lie in 0..255")
-        if not 0 <= self.data_cleanup_threshold <= 255:
-            raise ValueError("data_cleanup_threshold must lie in 0..255 days")
+        if self.execution_threshold < 0:
+            raise ValueError("execution_threshold must not be negative")
+        if self.data_cleanup_threshold < 0:
+            raise ValueError("data_cleanup_threshold must not be negative")
         if self.collection_interval <= 0:
             raise ValueError("collection_interval must be positive")
-        if self.maximum_size_mb < 0:
+        if self.maximum_size_mb is not None and self.maximum_size_mb < 0:
             raise ValueError("maximum_size_mb must not be negative")
         if self.data_cleanup_throttle is not None and self.data_cleanup_throttle < 0:
             raise ValueError("data_cleanup_throttle must not be negative")

@@ -29,13 +29,15 @@ def with_successor(
     The history of a key is cut into blocks of ``block`` intervals, so a key
     with a very long history is spread over many tasks.  The first row of a
     block also travels with the block before it, to be the successor of that
-    block's last row, and is dropped there afterwards.  Needs one shuffle.
+    block's last row, and is dropped there afterwards.  The one shuffle is by
+    key and block, also where the rows come dealt by key alone, so no task
+    sorts the whole history of a key.
     """
     home = F.call_function("div", F.col("interval_id"), F.lit(block))
     here = F.when(
         F.col("interval_id") % block == 0, F.array(home, home - 1)
     ).otherwise(F.array(home))
-    spread = df.withColumn("_block", F.explode(here))
+    spread = df.withColumn("_block", F.explode(here)).repartition(key, "_block")
     w = Window.partitionBy(key, "_block").orderBy("interval_id")
     adjacent = F.lead("interval_id").over(w) == F.col("interval_id") + 1
     out = spread.select(

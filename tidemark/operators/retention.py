@@ -58,6 +58,15 @@ def keep_runtime(
     return runtime.join(gone, ["query_id", "interval_id"], "left_anti")
 
 
+def without_runtime(
+    candidates: DataFrame, kept_runtime: DataFrame, max_rows: int | None = None
+) -> DataFrame:
+    """Candidates that have no runtime row left; without a limit these are all."""
+    if max_rows is None:
+        return candidates
+    return candidates.join(kept_runtime.select("query_id"), "query_id", "left_anti")
+
+
 def keep_queries(
     queries: DataFrame, candidates: DataFrame, max_rows: int | None = None
 ) -> DataFrame:
@@ -123,16 +132,17 @@ def retention(store: Store, as_of: datetime, days: int, max_rows: int | None = N
     Queries not executed within ``days`` lose their runtime rows, then
     themselves, then plans left without a query; log and waits expire by time.
     Intervals and the ledger of seen handles are kept.  ``max_rows`` bounds
-    what each of these steps removes.  A query may then go before its last
-    runtime rows, which stay behind as orphans: later runs look for expired
-    queries among those that still exist.
+    what each of these steps removes.  A query then goes with its last runtime
+    row and not before, so repeated runs end where one without a bound does.
     """
     before = cutoff(as_of, days)
     candidates = retention_candidates(store.query_runtime_stats, store.queries, before)
+    runtime = keep_runtime(store.query_runtime_stats, candidates, max_rows)
+    candidates = without_runtime(candidates, runtime, max_rows)
     queries = keep_queries(store.queries, candidates, max_rows)
     return store.with_frames(
         activity_log=keep_log(store.activity_log, before, max_rows),
-        query_runtime_stats=keep_runtime(store.query_runtime_stats, candidates, max_rows),
+        query_runtime_stats=runtime,
         queries=queries,
         plans=keep_plans(store.plans, queries, candidates, max_rows),
         wait_stats=keep_waits(store.wait_stats, store.intervals, before, max_rows),

@@ -15,7 +15,8 @@ from tidemark.operators import deltas, snapshots
 from tidemark.operators.relational import assign_ids
 from tidemark.operators.retention import retention
 from tidemark.sources import ingest, log
-from tidemark.sources.tables import cut_lineage
+from tidemark.sources.cleanup import cleanup
+from tidemark.sources.tables import cut_lineage, publish_run
 from tidemark.store import Inputs, Store
 
 OWN_SCHEMA = "telemetry"
@@ -28,7 +29,8 @@ class Run:
     ``changes`` holds what to write: rows to append, and for the facts whole
     intervals to exchange, listed in ``interval_ids``.
     ``stages`` holds the intermediate frames for inspection.  ``store`` is the
-    store as it looks afterwards, expired history removed if cleanup is on.
+    store as it looks afterwards, expired history removed if cleanup is on;
+    ``expiry`` then holds the arguments of ``cleanup``, which ``publish`` runs.
     ``skipped`` is the reason when nothing was collected.
     """
 
@@ -37,6 +39,7 @@ class Run:
     stages: dict[str, DataFrame] = field(default_factory=dict)
     skipped: str | None = None
     interval_ids: tuple[int, ...] = ()
+    expiry: dict | None = None
 
 
 def _scalar(df: DataFrame, column: str) -> int:
@@ -91,7 +94,7 @@ def gather(
     budget: DataFrame | None = None,
     own_schema: str = OWN_SCHEMA,
     match_creation_time: bool = True,
-    match_hash: bool = False,
+    match_hash: bool = True,
     log_progress: bool = True,
 ) -> Run:
     """Collect one interval.
@@ -113,7 +116,7 @@ def gather(
         entry = log.log_event(log.text_message(spark, reason), log_id + 1, run_id, as_of)
         logged = store.with_frames(activity_log=store.activity_log.unionByName(entry))
         run = Run(logged, {"activity_log": entry}, {}, reason)
-        return _clean(run, config, as_of, run_id, log_id + 1 if log_progress else None)
+        return _clean(run, config, as_of)
 
     interval_id = _scalar(store.intervals, "interval_id") + 1
     stats = inputs.query_stats
@@ -215,7 +218,7 @@ def gather(
     )
     replaced = (interval_id - 1, interval_id)
     run = Run(after, changes, stages, interval_ids=replaced)
-    return _clean(run, config, as_of, run_id, log_id if log_progress else None)
+    return _clean(run, config, as_of)
 
 
 def _paired_waits(earlier: DataFrame, later: DataFrame) -> DataFrame:
@@ -223,18 +226,21 @@ def _paired_waits(earlier: DataFrame, later: DataFrame) -> DataFrame:
     return earlier.join(later.select("wait_type"), "wait_type", "left_semi")
 
 
-def _clean(run: Run, config: StoreConfig, as_of: datetime, run_id: int, log_id: int | None) -> Run:
+def _clean(run: Run, config: StoreConfig, as_of: datetime) -> Run:
     """Expire history when cleanup is on; this also happens after a skipped collection.
 
-    ``log_id`` is the last one used, or None to leave no message.
+    Only ``store`` shows it.  ``publish`` carries it out on the files and then
+    logs it.
     """
     if not config.data_cleanup_active:
         return run
-    store, changes = run.store, run.changes
-    if log_id is not None:
-        message = log.text_message(store.intervals.sparkSession, log.CLEANED)
-        entry = log.log_event(message, log_id + 1, run_id, as_of)
-        changes = {**changes, "activity_log": changes["activity_log"].unionByName(entry)}
-        store = store.with_frames(activity_log=store.activity_log.unionByName(entry))
-    kept = retention(store, as_of, config.data_cleanup_threshold, config.data_cleanup_throttle)
-    return replace(run, store=kept, changes=changes)
+    days, throttle = config.data_cleanup_threshold, config.data_cleanup_throttle
+    expiry = {"as_of": as_of, "days": days, "max_rows": throttle}
+    return replace(run, store=retention(run.store, as_of, days, throttle), expiry=expiry)
+
+
+def publish(run: Run, root: str, log_progress: bool = True) -> None:
+    """Write what a run collected, and expire history on the files if it asks for it."""
+    publish_run(run.changes, root, run.interval_ids)
+    if run.expiry is not None:
+        cleanup(run.store.intervals.sparkSession, root, **run.expiry, log_progress=log_progress)

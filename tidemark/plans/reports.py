@@ -33,8 +33,9 @@ def not_excluded(df: DataFrame, store: Store, key: str = "query_id") -> DataFram
 
 
 def not_filtered_wait(waits: DataFrame, store: Store) -> DataFrame:
-    """Wait rows whose type is not filtered out."""
-    return drop_listed(waits, store.wait_type_filter, "wait_type")
+    """Wait rows whose type is not filtered out; types are compared without regard to case."""
+    folded = waits.withColumn("_type", F.lower("wait_type"))
+    return drop_listed(folded, store.wait_type_filter.select(F.lower("wait_type").alias("_type")), "_type").drop("_type")
 
 
 def active_only(runtime: DataFrame) -> DataFrame:

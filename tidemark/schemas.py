@@ -93,6 +93,8 @@ STORE_TABLES: dict[str, T.StructType] = {
 }
 
 #: Facts are laid out by interval, so that look-back reports prune whole folders.
+#: What tells the rows of a fact apart.
+KEYS = {"query_runtime_stats": ["query_id", "interval_id"], "wait_stats": ["wait_type", "interval_id"]}
 PARTITIONED_BY = {"query_runtime_stats": "interval_id", "wait_stats": "interval_id"}
 
 #: Tables that describe the set-up rather than history; a purge leaves them alone.

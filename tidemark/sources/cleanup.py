@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.times import at
 from tidemark.operators import retention as r
-from tidemark.sources.tables import cut_lineage, drop_intervals, read_store, replace_intervals, swap_table
+from tidemark.sources import log
+from tidemark.sources.tables import append_rows, cut_lineage, drop_intervals, read_store, replace_intervals, swap_table
 from tidemark.store import Store
 
 
@@ -37,10 +38,17 @@ def _expire_waits(spark: SparkSession, store: Store, root: str, before: datetime
 
 
 def cleanup(
-    spark: SparkSession, root: str, as_of: datetime, days: int, max_rows: int | None = None
+    spark: SparkSession,
+    root: str,
+    as_of: datetime,
+    days: int,
+    max_rows: int | None = None,
+    log_progress: bool = False,
 ) -> Store:
     """Apply ``retention`` to the files under ``root`` and read the store again.
 
+    With ``log_progress`` the log says so once everything is removed.
+
     Runtime rows are removed by rewriting the intervals that hold some of an
     expired query, waits by dropping folders; the small tables are written anew
     and exchanged.  Nothing may read or write the store meanwhile.
@@ -50,6 +58,9 @@ def cleanup(
     candidates = cut_lineage(r.retention_candidates(store.query_runtime_stats, store.queries, before))
     gone = cut_lineage(r.expired_runtime(store.query_runtime_stats, candidates, max_rows))
     _rewrite(store.query_runtime_stats, gone, ["query_id", "interval_id"], root, "query_runtime_stats")
+    if max_rows is not None:
+        left = read_store(spark, root).query_runtime_stats
+        candidates = cut_lineage(r.without_runtime(candidates, left, max_rows))
     if not candidates.isEmpty():
         queries = cut_lineage(r.keep_queries(store.queries, candidates, max_rows))
         plans = r.keep_plans(store.plans, queries, candidates, max_rows)
@@ -58,4 +69,8 @@ def cleanup(
     _expire_waits(spark, store, root, before, max_rows)
     if not store.activity_log.filter(F.col("log_timestamp") < at(before)).isEmpty():
         swap_table(r.keep_log(store.activity_log, before, max_rows), root, "activity_log")
+    if log_progress:
+        last = read_store(spark, root).activity_log.agg(F.max("log_run_id"), F.max("log_id")).first()
+        entry = log.log_event(log.text_message(spark, log.CLEANED), (last[1] or 0) + 1, last[0] or 1, as_of)
+        append_rows(entry, root, "activity_log")
     return read_store(spark, root)

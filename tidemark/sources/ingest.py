@@ -51,8 +51,10 @@ def monitored_list(config: StoreConfig, monitored: DataFrame) -> DataFrame:
 
 
 def monitored_ids(monitored: DataFrame, databases: DataFrame) -> DataFrame:
-    """Ids and names of the watched databases."""
-    return keep_listed(databases, monitored, "database_name").select("dbid", "database_name")
+    """Ids and names of the watched databases; names are compared without regard to case."""
+    folded = databases.withColumn("_name", F.lower("database_name"))
+    listed = monitored.select(F.lower("database_name").alias("_name"))
+    return keep_listed(folded, listed, "_name").select("dbid", "database_name")
 
 
 def monitored_plans(plans: DataFrame, monitored: DataFrame, databases: DataFrame) -> DataFrame:
@@ -148,13 +150,13 @@ def annotate_plans(plans: DataFrame) -> DataFrame:
 
 
 def new_queries(
-    plans: DataFrame, stats: DataFrame, text: DataFrame, known: DataFrame, match_hash: bool = False
+    plans: DataFrame, stats: DataFrame, text: DataFrame, known: DataFrame, match_hash: bool = True
 ) -> DataFrame:
     """Statements of the stored plans that are not known as queries yet.
 
-    Plans and statements meet on the handle alone, so a handle with n plan rows
-    and n statements gives n * n queries; ``match_hash`` also compares the
-    fingerprint, which leaves n.  The batch texts are joined to new rows only.
+    Plans and statements meet on handle and fingerprint, so a handle with n plan
+    rows and n statements gives n queries.  Without ``match_hash`` they meet on
+    the handle alone, which gives n * n.  The batch texts are joined to new rows only.
     """
     statements = stats.select(
         "plan_handle",

@@ -45,5 +45,5 @@ def log_event(
         value(log_id).cast("long").alias("log_id"),
         value(run_id).cast("int").alias("log_run_id"),
         at(as_of).alias("log_timestamp"),
-        F.substring("log_message", 1, 250).alias("log_message"),
+        "log_message",
     ).to(ACTIVITY_LOG)

@@ -100,7 +100,8 @@ def purge_store(spark: SparkSession, root: str) -> None:
     """Empty every history table in place; watched databases and wait filter stay."""
     for name in schemas.STORE_TABLES:
         if name not in schemas.KEPT_ON_PURGE:
-            _writer(empty_table(spark, name), name).mode("overwrite").parquet(f"{root}/{name}")
+            writer = _writer(empty_table(spark, name), name).mode("overwrite")
+            writer.option("partitionOverwriteMode", "static").parquet(f"{root}/{name}")
 
 
 def wait_type_filter(spark: SparkSession, names: Sequence[str], is_default: bool = True) -> DataFrame:

@@ -18,7 +18,7 @@ from tidemark.functions.times import at
 from tidemark.operators.deltas import runtime_delta, wait_delta
 from tidemark.operators.intervals import open_close_intervals
 from tidemark.operators.snapshots import fold_snapshot, wait_snapshot
-from tidemark.schemas import METRICS
+from tidemark.schemas import METRICS, QUERY_STATS
 from tidemark.store import Inputs, Store
 
 # Parameters of the projection.
@@ -44,7 +44,7 @@ def hour_of(ts: Column) -> Column:
 
 
 # Counters that servers of every version report and the versioned sample carries.
-COUNTERS_OF_ALL_VERSIONS = ("execution_count", "total_worker_time", "total_elapsed_time")
+SERVER_VERSIONS = ("9.0.4035.0", "10.0.1600.0", "10.50.2500.0", "12.0.2000.8", "13.0.1601.5")
 
 
 #: Schemas of tables seen before, by path, so that a footer is read once per process.
@@ -245,7 +245,7 @@ class Workload:
             (F.col("conv_id") * 1000 + F.col("turn")).alias("log_id"),
             F.col("conv_id").alias("log_run_id"),
             F.timestamp_add("HOUR", F.col("conv_id") * 71 % 720, at(EPOCH)).alias("log_timestamp"),
-            F.substring("text", 1, 250).alias("log_message"),
+            F.col("text").alias("log_message"),
         )
 
     def store(self, *names: str) -> Store:
@@ -435,22 +435,20 @@ class Workload:
         )
 
     def versioned_stats(self) -> DataFrame:
-        """Parts as statement counters from servers of three versions."""
-        key = F.col("p_partkey")
-        versions = (
-            F.when(key % 3 == 0, "10.0.1600.0").when(key % 3 == 1, "10.50.2500.0").otherwise("12.0.2000.8")
-        )
-        size = F.col("p_size").cast("long")
+        """Parts as statement counters from servers of five versions, every column filled."""
+        key, size = F.col("p_partkey"), F.col("p_size").cast("long")
+
+        def value(i: int, kind: T.DataType) -> Column:
+            if isinstance(kind, T.BinaryType):
+                return hex_id(key % (70 + i))
+            if isinstance(kind, T.TimestampNTZType):
+                return F.timestamp_add("HOUR", key % (70 + i), at(EPOCH))
+            return size * (i + 1) if isinstance(kind, T.LongType) else (key % (7 + i)).cast("int")
+
         return self.table("part").select(
             key,
-            versions.alias("version"),
-            hex_id(key).alias("sql_handle"),
-            hex_id(key).alias("plan_handle"),
-            hex_id(key % 97).alias("query_hash"),
-            hex_id(key % 89).alias("query_plan_hash"),
-            hex_id(key % 83).alias("statement_sql_handle"),
-            *[(size * (i + 1)).alias(c) for i, c in enumerate(COUNTERS_OF_ALL_VERSIONS)],
-            *[size.alias(f"{s}_rows") for s in ("total", "last", "min", "max")],
+            F.get(F.array(*[F.lit(v) for v in SERVER_VERSIONS]), (key % len(SERVER_VERSIONS)).cast("int")).alias("version"),
+            *[value(i, f.dataType).alias(f.name) for i, f in enumerate(QUERY_STATS.fields)],
         )
 
 

@@ -58,6 +58,9 @@ def _stepper(
         rows = np.concatenate([matrix(pdf) for pdf in batches])
         rows = rows[np.argsort(rows[:, at_id], kind="stable")]
         if held is not None:
+            late = rows[rows[:, at_id] < held[0, at_id]]
+            if len(late):
+                yield frame(late, False)
             rows = np.concatenate([held, rows[rows[:, at_id] > held[0, at_id]]])
         earlier, later = rows[:-1].copy(), rows[1:]
         adjacent = later[:, at_id] == earlier[:, at_id] + 1
@@ -105,8 +108,9 @@ def stream_delta(snapshots: DataFrame, evict_after_ms: int = 0) -> DataFrame:
     A row comes out when the next snapshot of its query arrives, differenced if
     that is the following interval and as it was otherwise.  With
     ``evict_after_ms`` a query without news for so long gives its last row
-    undifferenced and is forgotten.  Snapshots not newer than the last one seen
-    are ignored.
+    undifferenced and is forgotten.  A snapshot older than the last one seen comes
+    out undifferenced as well, so nothing is lost; one of the same interval is
+    taken for a repetition.
     """
     return _stream_delta(
         snapshots, "query_id", QUERY_RUNTIME_STATS, RUNTIME_COUNTERS, RUNTIME_AVERAGES, evict_after_ms

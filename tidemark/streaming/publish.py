@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.schemas import STORE_TABLES
-from tidemark.sources.tables import replace_intervals
+from tidemark.schemas import KEYS, STORE_TABLES
+from tidemark.sources.tables import cut_lineage, replace_intervals
 
 
 def read_snapshots(
@@ -34,17 +34,25 @@ def append_batches(root: str, name: str) -> Callable[[DataFrame, int], None]:
 
 
 def publish_intervals(root: str, name: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function that exchanges the intervals each batch brings.
+    """``foreachBatch`` function that puts the rows of each batch into their intervals.
 
-    For feeds that deliver an interval in one batch; repeating a batch is harmless.
+    A row takes the place of the stored one with its key; other rows of its
+    interval stay, so an interval may come in several batches, and repeating
+    a batch is harmless.  Of several rows of a batch with one key one is taken.
     """
-
-    def exchange(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        replace_intervals(batch, root, name)
-        batch.unpersist()
-
-    return exchange
+    keys = KEYS[name]
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = cut_lineage(batch.select(*STORE_TABLES[name].names).dropDuplicates(keys))
+        if fresh.isEmpty():
+            return
+        stored = spark.read.schema(STORE_TABLES[name]).parquet(f"{root}/{name}")
+        touched = stored.join(fresh.select("interval_id").distinct(), "interval_id", "left_semi")
+        rest = touched.join(fresh.select(*keys), keys, "left_anti").select(*STORE_TABLES[name].names)
+        replace_intervals(fresh.unionByName(rest), root, name)
+
+    return merge
 
 
 def read_landed(spark: SparkSession, root: str, name: str) -> DataFrame:
