@@ -609,3 +609,43 @@ ORACLE["io_chart"] = charted("io", "time_date, database_name", ("avg_logical_rea
 ORACLE["elapsed_time_chart"] = charted("elapsed_time", "time_date, database_name", ("avg_elapsed_time",))
 ORACLE["wait_time_chart"] = charted("wait_time_per_interval", "time_date", ("total_wait_time", "waiting_tasks"))
 ORACLE["top3_waits_chart"] = charted("top3_waits", "time_date, wait_type", ("wait_time_ms",))
+
+# Columns of the test tables by kind: i and f have 4 bytes, l 8 (also doubles and times), s is text, v a list of floats.
+TABLE_KINDS = {
+    "region": "r_regionkey i, r_name s",
+    "nation": "n_nationkey i, n_name s, n_regionkey i",
+    "customer": "c_custkey l, c_name s, c_nationkey i, c_acctbal l, c_mktsegment s",
+    "supplier": "s_suppkey l, s_name s, s_nationkey i, s_acctbal l",
+    "part": "p_partkey l, p_name s, p_brand s, p_type s, p_size i, p_retailprice l",
+    "orders": "o_orderkey l, o_custkey l, o_orderstatus s, o_totalprice l, o_orderdate l, o_orderpriority s",
+    "lineitem": "l_orderkey l, l_partkey l, l_suppkey l, l_linenumber i, l_quantity l, l_extendedprice l, "
+    "l_discount l, l_tax l, l_returnflag s, l_linestatus s, l_shipdate l",
+    "events": "event_id l, ts l, user_id l, event_type s, value l, props s",
+    "documents": "doc_id l, text s, lang s, source s, n_chars l",
+    "embeddings": "vec_id l, embedding v, label i",
+    "pages": "page_id l, url s, html s",
+    "benchmark": "item_id l, text s",
+    "labels": "doc_id l, quality i, toxic i",
+    "conversations": "conv_id l, turn l, role s, text s",
+}
+
+
+def _content(table: str, columns: str) -> str:
+    size = {"i": "4", "l": "8", "s": "strlen({0})", "v": "4 * len({0})"}
+    parts = [c.split() for c in columns.split(", ")]
+    total = " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE {size[k].format(c)} END" for c, k in parts)
+    return f"SELECT '{table}' AS table_name, count(*) AS row_count, CAST(ceil(sum({total}) / 1024) AS BIGINT) AS size_kb FROM {table}"
+
+
+CONTENTS = (
+    "contents",
+    "SELECT table_name, CAST(table_id AS INTEGER) AS table_id, 'U' AS table_type, row_count, size_kb FROM (SELECT unnest(["
+    + ", ".join(f"'{t}'" for t in TABLE_KINDS)
+    + ", 'unstored']) AS table_name, unnest(range(1, 16)) AS table_id) LEFT JOIN ("
+    + " UNION ALL ".join(_content(t, c) for t, c in TABLE_KINDS.items())
+    + ") USING (table_name)",
+)
+ORACLE["content_catalog"] = ctes(CONTENTS) + "SELECT * FROM contents"
+ORACLE["storage_size"] = ctes(CONTENTS) + "SELECT table_name, size_kb FROM contents WHERE size_kb IS NOT NULL"
+ORACLE["size_budget"] = ctes(CONTENTS) + """
+SELECT coalesce(102400 > sum(size_kb), false) AS within_budget, CAST(sum(size_kb) AS BIGINT) AS used_kb FROM contents"""
