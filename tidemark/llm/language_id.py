@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_rows
+from tidemark.llm.labelled import fetched
 
 #: Longest context, in bytes.
 ORDER = 4
@@ -169,22 +170,26 @@ class Scorer:
             yield self.tables.languages[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum())
 
 
-def sample(docs: DataFrame, usable: Column, most: int) -> list[tuple[bytes, str]]:
+def sample(
+    docs: DataFrame, usable: Column, most: int, most_languages: int = 200, most_bytes: int = 64 << 20
+) -> list[tuple[bytes, str]]:
     """Up to ``most`` (text, lang) rows of each language on the driver, chosen by a hash of doc_id.
 
-    The bound is the point: what is learned from does not grow with the input.  Spark limits the
-    rows of each language before it shuffles them.
+    The ``most_languages`` languages with the most rows are learned.  All bounds are the point:
+    what is learned from does not grow with the input.  Spark limits the ids of each language
+    before it shuffles them; texts are fetched for the chosen ones only.
     """
-    first = Window.partitionBy("lang").orderBy("__order", "doc_id")
-    rows = (
-        docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .select("doc_id", "lang", "text", F.xxhash64(F.lit("sample"), "doc_id").alias("__order"))
-        .withColumn("__n", F.row_number().over(first))
-        .filter(F.col("__n") <= most)
-        .select("text", "lang")
-        .collect()
+    rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    largest = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
+    first = Window.partitionBy("lang").orderBy("o", "doc_id")
+    chosen = (
+        rows.select("doc_id", "lang", F.xxhash64(F.lit("sample"), "doc_id").alias("o"))
+        .join(F.broadcast(largest.select("lang")), "lang")
+        .withColumn("n", F.row_number().over(first))
+        .filter(F.col("n") <= most)
+        .select("doc_id", F.col("lang").alias("y"), "o")
     )
-    return [(r.text.encode(), r.lang) for r in rows]
+    return fetched(docs, chosen, most_bytes)
 
 
 def identify(docs: DataFrame, tables: Tables, at_once: int = 500) -> DataFrame:
