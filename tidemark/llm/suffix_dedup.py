@@ -33,6 +33,8 @@ class Shape:
 
 #: Documents that share the head of a suffix are sorted in groups of about this many.
 GROUP = 4000
+#: A head is frequent if one in so many retained suffixes has it.
+FREQUENT = 1000
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -68,50 +70,55 @@ def retained(codes: np.ndarray, shape: Shape) -> np.ndarray:
 
 
 def _heads(docs: DataFrame, shape: Shape) -> DataFrame:
-    """Per retained suffix: doc_id, place, and a hash of its head."""
+    """Per retained suffix: doc_id, place, a hash of its head, and whether its text has the head first here."""
 
     def each(batches: Iterator[dict]) -> Iterator[dict]:
         hashes = WordHashes()
         for batch in batches:
-            ids, keys, places = [], [], []
+            ids, keys, places, firsts = [], [], [], []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 codes = _codes(text, hashes)
                 at = retained(codes, shape)
                 if len(at):
                     ids.append(np.full(len(at), doc_id, np.int64))
                     places.append(at.astype(np.int32))
-                    keys.append(_sequences(codes, shape.head)[at].view(np.int64))
+                    head = _sequences(codes, shape.head)[at].view(np.int64)
+                    keys.append(head)
+                    first = np.zeros(len(at), bool)
+                    first[np.unique(head, return_index=True)[1]] = True
+                    firsts.append(first)
             if ids:
-                yield {"doc_id": np.concatenate(ids), "place": np.concatenate(places), "head": np.concatenate(keys)}
+                parts = {"doc_id": ids, "place": places, "head": keys, "first": firsts}
+                yield {name: np.concatenate(part) for name, part in parts.items()}
 
-    return arrow_rows(docs, each, "doc_id long, place int, head long")
+    return arrow_rows(docs, each, "doc_id long, place int, head long, first boolean")
 
 
 def _suffixes(docs: DataFrame, shape: Shape) -> DataFrame:
     """Per retained suffix that is listed in ``places``: the words right of its head and left of it.
 
     Both are sequences of 4-byte word hashes, those on the left read backwards, as long as a match
-    may have to be followed.
+    may have to be followed.  Places of a text with equal words on both sides share a row.
     """
     right, left = shape.least - shape.head, shape.window
 
     def each(batches: Iterator[dict]) -> Iterator[dict]:
         hashes = WordHashes()
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("head", "salt", "right", "left", "doc_id", "place")}
+            out: dict[str, list] = {c: [] for c in ("head", "salt", "right", "left", "doc_id", "places")}
             for doc_id, text, places in zip(batch["doc_id"], batch["text"], batch["places"], strict=True):
                 small = (_codes(text, hashes) >> np.uint64(32)).astype(">u4")
+                alike: dict[tuple, list[int]] = {}
                 for p in places:
                     end = p["place"] + shape.head
-                    out["head"].append(p["head"])
-                    out["salt"].append(p["salt"])
-                    out["right"].append(small[end : end + right].tobytes())
-                    out["left"].append(small[max(0, p["place"] - left) : p["place"]][::-1].tobytes())
-                    out["doc_id"].append(doc_id)
-                    out["place"].append(p["place"])
+                    before = small[max(0, p["place"] - left) : p["place"]][::-1].tobytes()
+                    alike.setdefault((p["head"], p["salt"], small[end : end + right].tobytes(), before), []).append(p["place"])
+                for key, at in alike.items():
+                    for name, value in zip(out, (*key, doc_id, at), strict=True):
+                        out[name].append(value)
             yield out
 
-    return arrow_rows(docs, each, "head long, salt int, right binary, left binary, doc_id long, place int")
+    return arrow_rows(docs, each, "head long, salt int, right binary, left binary, doc_id long, places array<int>")
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -125,8 +132,8 @@ def _common(a: bytes, b: bytes) -> int:
     return n // 4
 
 
-def group_matches(rows: list[tuple[bytes, bytes, int, int]], shape: Shape) -> list[tuple[int, int, int]]:
-    """(doc_id, from, to) of the matches in a group of sorted (right, left, doc_id, place).
+def group_matches(rows: list[tuple[bytes, bytes, int, list[int]]], shape: Shape) -> list[tuple[int, int, int]]:
+    """(doc_id, from, to) of the matches in a group of sorted (right, left, doc_id, places).
 
     Each suffix is compared with the nearest one of another document on either side, and the match
     extended to the right and to the left.
@@ -145,8 +152,9 @@ def group_matches(rows: list[tuple[bytes, bytes, int, int]], shape: Shape) -> li
             last = i
     return [
         (doc_id, place - left, place + shape.head + right)
-        for (_, _, doc_id, place), (left, right) in zip(rows, best, strict=True)
+        for (_, _, doc_id, places), (left, right) in zip(rows, best, strict=True)
         if left + shape.head + right >= shape.least
+        for place in places
     ]
 
 
@@ -162,7 +170,7 @@ def _matches(suffixes: DataFrame, shape: Shape) -> DataFrame:
 
         for batch in batches:
             for head, salt, *row in zip(
-                *(batch[c] for c in ("head", "salt", "right", "left", "doc_id", "place")), strict=True
+                *(batch[c] for c in ("head", "salt", "right", "left", "doc_id", "places")), strict=True
             ):
                 if (head, salt) != at:
                     if len(rows) > 1:
@@ -171,7 +179,7 @@ def _matches(suffixes: DataFrame, shape: Shape) -> DataFrame:
                 rows.append(tuple(row))
         yield found()
 
-    dealt = suffixes.repartition("head", "salt").sortWithinPartitions("head", "salt", "right", "left", "doc_id", "place")
+    dealt = suffixes.repartition("head", "salt").sortWithinPartitions("head", "salt", "right", "left", "doc_id")
     return arrow_rows(dealt, each, "doc_id long, from int, to int")
 
 
@@ -185,18 +193,30 @@ def repeated_passages(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
 
     Suffixes are retained at minimisers and sorted by head, then to the right and left; neighbours
     are compared and extended both ways, so that what documents share is found whole whatever stands
-    around it.  A head that many suffixes have is dealt by document into groups of some thousands,
-    each sorted by itself, so no task holds all of a common passage.  Rows without doc_id or text,
+    around it.  A head that more than ``GROUP`` documents have is dealt by document into groups of
+    about that many, each sorted by itself, so no task holds all of a common passage.  Two documents
+    that share such a head, and go on alike for longer than the other thousands do, may fall into
+    different groups; the heads that begin farther on in their passage then show it.  Rows without doc_id or text,
     and texts of fewer words, have no spans; tables without rows give none.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     heads = cut(_heads(rows, shape))
-    shared = heads.groupBy("head").agg(
-        F.count("*").alias("n"), F.min("doc_id").alias("x"), F.max("doc_id").alias("y")
-    ).filter("x < y")
+    shared = cut(
+        heads.groupBy("head")
+        .agg(F.count_if("first").alias("n"), F.min("doc_id").alias("x"), F.max("doc_id").alias("y"))
+        .filter("x < y")
+        .select("head", "n")
+    )
     salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / GROUP)).cast("int")
+    # A head with a thousandth of all suffixes is one of a thousand at most: these are broadcast, so
+    # that a passage which many documents share does not meet in one task.
+    frequent = shared.filter(F.col("n") * FREQUENT >= heads.count())
+    heads = heads.drop("first")
+    met = heads.join(F.broadcast(frequent), "head").unionByName(
+        heads.join(F.broadcast(frequent.select("head")), "head", "left_anti").join(shared, "head")
+    )
     places = (
-        heads.join(shared.select("head", "n"), "head")
+        met
         .groupBy("doc_id")
         .agg(F.collect_set(F.struct("place", "head", salt.alias("salt"))).alias("places"))
     )
