@@ -10,19 +10,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.tables import cut_lineage
+
 #: Separators between words: space and the five control characters from tab to carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute a frame once and for all into the folder that ``spark.checkpoint.dir`` names."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Compute a frame once and for all into the folder that ``spark.checkpoint.dir`` names.
+
+    Only in local sessions without that setting a temporary folder stands in.
+    """
+    return cut_lineage(df)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
