@@ -19,8 +19,13 @@ def interval_totals(
     """Row count and sums per tumbling interval, emitted once the interval is final.
 
     ``measures`` maps result names to the columns to sum.  Rows later than the
-    ``delay`` behind the newest one are dropped.
+    ``delay`` behind the newest one are dropped.  Times carry no zone, and the
+    watermark passes them through the session's, so that must not shift its
+    clock: the session has to run in UTC.
     """
+    zone = events.sparkSession.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        raise ValueError(f"interval totals need a session in UTC, not {zone}")
     return (
         events.withColumn(time, F.col(time).cast("timestamp"))
         .withWatermark(time, delay)
