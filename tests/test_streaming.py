@@ -120,16 +120,16 @@ def test_repeated_delivery_lands_nothing_twice(spark, tmp_path):
         assert rows(read_landed(spark, root, "wait_stats")) == rows(data)
 
 
-def test_publish_intervals_exchanges_partitions(spark, tmp_path):
+def test_publish_intervals_merges_by_key(spark, tmp_path):
     root = str(tmp_path / "store")
-    create_store(spark, root, wait_stats=b.waits(spark, [(0, "old", 1, 1), (1, "stale", 1, 1)]))
+    create_store(spark, root, wait_stats=b.waits(spark, [(0, "old", 1, 1), (1, "stays", 1, 1), (1, "a", 9, 9)]))
     data = b.waits(spark, [(i, w, i, i) for i in range(1, 5) for w in "ab"])
     path = land(data, str(tmp_path / "in"), "wait_stats", (1, 2), (3, 4))
     for attempt in ("first", "second"):
         stream = read_snapshots(spark, path, "wait_stats", 1)
         deliver(stream, publish_intervals(root, "wait_stats"), tmp_path, attempt)
         got = rows(read_store(spark, root).wait_stats, *data.columns)
-        assert got == sorted([*rows(data), (0, "old", 1, 1, 1, 1)], key=repr)
+        assert got == sorted([*rows(data), (0, "old", 1, 1, 1, 1), (1, "stays", 1, 1, 1, 1)], key=repr)
 
 
 def test_an_interval_may_come_in_several_batches(spark, tmp_path):
