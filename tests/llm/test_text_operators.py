@@ -153,6 +153,22 @@ def test_toxicity(docs):
     assert toxicity.learn([]).terms == {} and toxicity.score(docs(rows).limit(0), lexicon).count() == 0
 
 
+def test_terms_of_a_small_language():
+    r = random.Random(8)
+    small = words(5000, 60).split()
+    rows = labelled_texts(2000)
+    for i in range(160):  # 8 of about 510 toxic rows: under 2%
+        text = r.choices(small, k=40)
+        rows.append((" ".join(text + ["cretino"] * (i % 20 == 0)).encode(), int(i % 20 == 0)))
+    lexicon = toxicity.learn(rows)
+    assert {" idiot ", " cretino "} <= set(lexicon.terms)
+    assert toxicity.hits(toxicity.fold("w5001 Cretino w5002"), toxicity.matcher(lexicon), lexicon.exceptions)
+    assert not any(term.startswith(" w") for term in lexicon.terms)
+    assert toxicity.chance(3, 0, 0.5) == pytest.approx(0.125) and toxicity.chance(1, 1, 0.5) == pytest.approx(0.75)
+    few = [(b"odd1 x", 1)] * 6 + [(b"x", 1)] * 94 + [(b"x", 0)] * 100  # 6 of 6 at even odds may be chance
+    assert toxicity.learn(few).terms == {}
+
+
 def test_exceptions():
     lexicon = toxicity.Lexicon({" clown ": 3.0}, {("clown", "fish")})
     automaton = toxicity.matcher(lexicon)

@@ -108,17 +108,33 @@ def _score(x: tuple[float, float], line: tuple[float, float, float]) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, line[0] + line[1] * x[0] + line[2] * x[1]))))
 
 
+def chance(n: int, other: int, share: float) -> float:
+    """Probability that ``n`` or more of ``n + other`` documents have label 1 if each has it with probability ``share``."""
+    if not 0 < share < 1:
+        return float(n == 0 or share >= 1)
+    total = n + other
+    ways = math.lgamma(total + 1)
+    return math.fsum(
+        math.exp(
+            ways - math.lgamma(k + 1) - math.lgamma(total - k + 1) + k * math.log(share) + (total - k) * math.log1p(-share)
+        )
+        for k in range(n, total + 1)
+    )
+
+
 def learn(
-    rows: Iterable[tuple[bytes, int]], least_share: float = 0.02, least_weight: float = 2.0, most_terms: int = 2000
+    rows: Iterable[tuple[bytes, int]], least_documents: int = 5, least_weight: float = 2.0, most_chance: float = 1e-4
 ) -> Lexicon:
     """A lexicon from (text, 0 or 1) rows.
 
     Candidates are whole folded words and beginnings of words.  The weight of a term is the
-    logarithm of how much more often documents of label 1 hold it; terms in a smaller share of the
-    documents of label 1 or with less weight are left out, and so are beginnings that stand for
-    little else than one longer term.  Pairs of words around a term that only documents of
-    label 0 hold, three or more of them, become exceptions.  The score's line is then fitted to
-    the rows.
+    logarithm of how much more often documents of label 1 hold it; terms with less weight are left
+    out, those in fewer than ``least_documents`` documents of label 1, those that chance would deal
+    to documents of label 1 as often with more than ``most_chance``, and beginnings that stand for
+    little else than one longer term.  Nothing depends on a term's share of label 1, so the words
+    of a small language or source are learned beside those of a large one.  Pairs of words around a
+    term that only documents of label 0 hold, three or more of them, become exceptions.  The score's
+    line is then fitted to the rows.
     """
     rows = [(fold(text.decode("utf-8", "replace")), int(label)) for text, label in rows]
     number = Counter(label for _, label in rows)
@@ -128,18 +144,18 @@ def learn(
         terms = {f" {w} " for w in words}
         terms |= {f" {w[:n]}" for w in words for n in range(SHORTEST, min(LONGEST, len(w)) + 1)}
         holding[label].update(terms)
-    weighted, least_documents = {}, max(5, math.ceil(least_share * number[1]))
+    weighted, share = {}, number[1] / max(len(rows), 1)
     for term, n in holding[1].items():
         if n >= least_documents:
             weight = math.log((n + 0.5) / (number[1] + 1)) - math.log((holding[0][term] + 0.5) / (number[0] + 1))
-            if weight >= least_weight and 20 * holding[0][term] <= n:
+            if weight >= least_weight and 20 * holding[0][term] <= n and chance(n, holding[0][term], share) <= most_chance:
                 weighted[term] = weight
     for term in sorted(weighted, key=len, reverse=True):
         for shorter in [term[:-1]] if len(term) > SHORTEST + 1 else []:
             if shorter in weighted and 10 * holding[1][term] >= 9 * holding[1][shorter]:
                 del weighted[shorter]
     ranked = sorted(weighted.items(), key=lambda x: (-holding[1][x[0]] * x[1], x[0]))
-    lexicon = Lexicon(dict(ranked[:most_terms]))
+    lexicon = Lexicon(dict(ranked))
     automaton = matcher(lexicon)
     around: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for folded, label in rows:
