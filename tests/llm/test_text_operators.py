@@ -70,6 +70,42 @@ def test_repeated_passages_equal_brute_force(docs):
     assert suffix_dedup.repeated_passages(docs(rows).limit(0)).count() == 0
 
 
+def shared_words(rows, least=50):
+    """By brute force: words of each document that lie in passages another one has too."""
+    texts, places, expected = [(i, t.split()) for i, t in rows], defaultdict(set), defaultdict(set)
+    for i, w in texts:
+        for p in range(len(w) - least + 1):
+            places[tuple(w[p : p + least])].add(i)
+    for i, w in texts:
+        for p in range(len(w) - least + 1):
+            if len(places[tuple(w[p : p + least])]) > 1:
+                expected[i] |= set(range(p, p + least))
+    return dict(expected)
+
+
+def found_words(docs, rows):
+    got = suffix_dedup.repeated_passages(docs(rows)).collect()
+    return {r.doc_id: {x for s in r.spans for x in range(s["from"], s["to"])} for r in got}
+
+
+def phrases_in_passages(others):
+    """Passages of 50 words that two documents share, around phrases of 36 words that ``others`` more have."""
+    r, rows = random.Random(6), []
+    for k in range(30):
+        before, phrase = words(1000 * k, 14), words(1000 * k + 500, 36)
+        for j in range(others + 2):
+            around = [" ".join(f"v{r.randrange(10**9)}" for _ in range(25)) for _ in range(3)]
+            rows.append((len(rows), " ".join([around[0], around[2] if j > 1 else before, phrase, around[1]])))
+    return rows
+
+
+def test_passages_around_a_frequent_phrase(docs):
+    rows = phrases_in_passages(8)
+    expected = shared_words(rows)
+    assert len(expected) == 60
+    assert found_words(docs, rows) == expected
+
+
 LANGUAGES = {"aa": "the then that this with other there", "bb": "der die das und nicht ein eine", "cc": "été écran élan où ça"}
 
 

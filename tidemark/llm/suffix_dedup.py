@@ -100,7 +100,7 @@ def _suffixes(docs: DataFrame, shape: Shape) -> DataFrame:
     Both are sequences of 4-byte word hashes, those on the left read backwards, as long as a match
     may have to be followed.  Places of a text with equal words on both sides share a row.
     """
-    right, left = shape.least - shape.head, shape.window
+    right = left = shape.least - shape.head
 
     def each(batches: Iterator[dict]) -> Iterator[dict]:
         hashes = WordHashes()
@@ -121,65 +121,74 @@ def _suffixes(docs: DataFrame, shape: Shape) -> DataFrame:
     return arrow_rows(docs, each, "head long, salt int, right binary, left binary, doc_id long, places array<int>")
 
 
-def _common(a: bytes, b: bytes) -> int:
-    """Leading words that two sequences share."""
-    if a == b:
-        return len(a) // 4
-    n = min(len(a), len(b))
-    for i in range(0, n, 4):
-        if a[i : i + 4] != b[i : i + 4]:
-            return i // 4
-    return n // 4
+def _sums(sides: list[bytes], factors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sequences of 4-byte hashes: a hash of every beginning, the empty one first, and their lengths."""
+    width = len(factors)
+    padded = b"".join(s[: 4 * width].ljust(4 * width, b"\0") for s in sides)
+    values = np.frombuffer(padded, ">u4").reshape(-1, width).astype(np.uint64) * factors
+    sums = np.zeros((len(sides), width + 1), np.uint64)
+    np.cumsum(values, axis=1, out=sums[:, 1:])
+    return sums, np.fromiter(map(len, sides), np.int64, len(sides)) // 4
 
 
-def group_matches(rows: list[tuple[bytes, bytes, int, list[int]]], shape: Shape) -> list[tuple[int, int, int]]:
-    """(doc_id, from, to) of the matches in a group of sorted (right, left, doc_id, places).
+def group_matches(rows: dict[str, list], shape: Shape) -> dict[str, list]:
+    """Matches in whole groups of suffixes (head, salt, right, left, doc_id, places): doc_id, from, to.
 
-    Each suffix is compared with the nearest one of another document on either side, and the match
-    extended to the right and to the left.
+    A passage of ``least`` words that contains a head is that head, some words left of it and the
+    others right of it.  All such passages of every suffix are keyed, so that each key of two
+    documents is found, whatever lies between them in any order.  What a suffix shares contains its
+    head, so its passages join into one span.
     """
-    best = [(0, 0)] * len(rows)
-    for order in (range(len(rows)), range(len(rows) - 1, -1, -1)):
-        last, other = None, None  # the row before, and the nearest row of a document other than its
-        for i in order:
-            if last is not None:
-                if rows[last][2] != rows[i][2]:
-                    other = last
-                if other is not None and rows[other][2] != rows[i][2]:
-                    found = _common(rows[i][1], rows[other][1]), _common(rows[i][0], rows[other][0])
-                    if sum(found) > sum(best[i]):
-                        best[i] = found
-            last = i
-    return [
-        (doc_id, place - left, place + shape.head + right)
-        for (_, _, doc_id, places), (left, right) in zip(rows, best, strict=True)
-        if left + shape.head + right >= shape.least
-        for place in places
-    ]
+    out: dict[str, list] = {c: [] for c in ("doc_id", "from", "to")}
+    if not rows["head"]:
+        return out
+    span = shape.least - shape.head
+    factors = _mixed(np.arange(1, 2 * span + 4, dtype=np.uint64) * np.uint64(FACTORS[0])) | np.uint64(1)
+    left, n_left = _sums(rows["left"], factors[:span])
+    right, n_right = _sums(rows["right"], factors[span : 2 * span])
+    head, salt, doc = (np.array(rows[c], np.int64) for c in ("head", "salt", "doc_id"))
+    offsets = np.arange(span + 1)  # words left of the head
+    keys = left + right[:, ::-1] + offsets.astype(np.uint64) * factors[2 * span]
+    keys = _mixed(keys + (head.view(np.uint64) * factors[2 * span + 1])[:, None])
+    whole = (offsets <= n_left[:, None]) & (span - offsets <= n_right[:, None])
+    row, offset = np.nonzero(whole)
+    if not len(row):
+        return out
+    inside = keys[row, offset] + salt.view(np.uint64)[row] * factors[2 * span + 2]
+    order = np.argsort(inside, kind="stable")
+    row, offset, inside = row[order], offset[order], inside[order]
+    starts = np.flatnonzero(np.concatenate([[True], inside[1:] != inside[:-1]]))
+    several = np.minimum.reduceat(doc[row], starts) < np.maximum.reduceat(doc[row], starts)
+    shared = np.zeros_like(whole)
+    shared[row, offset] = np.repeat(several, np.diff(np.append(starts, len(row))))
+    least, most = shared.argmax(axis=1), span - shared[:, ::-1].argmax(axis=1)
+    for i in np.flatnonzero(shared.any(axis=1)).tolist():
+        for place in rows["places"][i]:
+            for name, value in zip(out, (int(doc[i]), place - int(most[i]), place - int(least[i]) + shape.least), strict=True):
+                out[name].append(value)
+    return out
 
 
 def _matches(suffixes: DataFrame, shape: Shape) -> DataFrame:
-    """Sort the suffixes of each head and compare neighbours."""
+    """Bring the suffixes of each head together and find what they share."""
 
     def each(batches: Iterator[dict]) -> Iterator[dict]:
-        at, rows = None, []
-
-        def found() -> dict:
-            spans = group_matches(rows, shape) if len(rows) > 1 else []
-            return {"doc_id": [s[0] for s in spans], "from": [s[1] for s in spans], "to": [s[2] for s in spans]}
-
+        rows: dict[str, list] = {c: [] for c in ("head", "salt", "right", "left", "doc_id", "places")}
         for batch in batches:
-            for head, salt, *row in zip(
-                *(batch[c] for c in ("head", "salt", "right", "left", "doc_id", "places")), strict=True
-            ):
-                if (head, salt) != at:
-                    if len(rows) > 1:
-                        yield found()
-                    at, rows = (head, salt), []
-                rows.append(tuple(row))
-        yield found()
-
-    dealt = suffixes.repartition("head", "salt").sortWithinPartitions("head", "salt", "right", "left", "doc_id")
+            for name, values in rows.items():
+                values.extend(batch[name])
+            at = len(rows["head"])
+            if not at:
+                continue
+            last = rows["head"][-1], rows["salt"][-1]
+            while at and (rows["head"][at - 1], rows["salt"][at - 1]) == last:
+                at -= 1
+            if at:  # all groups but the last one are whole
+                yield group_matches({name: values[:at] for name, values in rows.items()}, shape)
+                rows = {name: values[at:] for name, values in rows.items()}
+        yield group_matches(rows, shape)
+
+    dealt = suffixes.repartition("head", "salt").sortWithinPartitions("head", "salt")
     return arrow_rows(dealt, each, "doc_id long, from int, to int")
 
 
@@ -191,8 +200,8 @@ def repeated_passages(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     it too; one that repeats only within its document does not.  A document's own rows count as one
     document.
 
-    Suffixes are retained at minimisers and sorted by head, then to the right and left; neighbours
-    are compared and extended both ways, so that what documents share is found whole whatever stands
+    Suffixes are retained at minimisers and brought together by head; all passages of ``least`` words
+    that contain the head are compared, so that what documents share is found whole whatever stands
     around it.  A head that more than ``GROUP`` documents have is dealt by document into groups of
     about that many, each sorted by itself, so no task holds all of a common passage.  Two documents
     that share such a head, and go on alike for longer than the other thousands do, may fall into
