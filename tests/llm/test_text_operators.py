@@ -106,6 +106,17 @@ def test_passages_around_a_frequent_phrase(docs):
     assert found_words(docs, rows) == expected
 
 
+def test_passages_across_groups_of_a_frequent_head(docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP", 3)
+    r, rows = random.Random(7), phrases_in_passages(10)
+    for _ in range(40):  # of one phrase, in documents that share from 31 to 70 words around it
+        whole = words(10**6, 70).split()
+        start, stop = r.randrange(20), 70 - r.randrange(20)
+        rows.append((len(rows), f"a{r.random()} {' '.join(whole[start:stop])} b{r.random()}"))
+    rows += [(1000, "x " * 300), (1001, "x " * 70), (1002, "x " * 50), (1003, "x " * 49), (1004, "x " * 90)]
+    assert found_words(docs, rows) == shared_words(rows)
+
+
 LANGUAGES = {"aa": "the then that this with other there", "bb": "der die das und nicht ein eine", "cc": "été écran élan où ça"}
 
 

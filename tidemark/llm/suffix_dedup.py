@@ -31,7 +31,7 @@ class Shape:
         return self.least - self.window + 1
 
 
-#: Documents that share the head of a suffix are sorted in groups of about this many.
+#: Documents that share the head of a suffix are compared in groups of about this many, and these groups by key.
 GROUP = 4000
 #: A head is frequent if one in so many retained suffixes has it.
 FREQUENT = 1000
@@ -132,14 +132,23 @@ def _sums(sides: list[bytes], factors: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def group_matches(rows: dict[str, list], shape: Shape) -> dict[str, list]:
-    """Matches in whole groups of suffixes (head, salt, right, left, doc_id, places): doc_id, from, to.
+    """Matches in whole groups of suffixes (head, salt, right, left, doc_id, places): doc_id, from, to, key, salt.
 
     A passage of ``least`` words that contains a head is that head, some words left of it and the
     others right of it.  All such passages of every suffix are keyed, so that each key of two
     documents is found, whatever lies between them in any order.  What a suffix shares contains its
     head, so its passages join into one span.
+
+    These rows have no key.  A head with a salt has other groups too: each passage that one
+    document of this group has comes with its key, to be a match if another group has the key;
+    keys of several documents come once, without doc_id.
     """
-    out: dict[str, list] = {c: [] for c in ("doc_id", "from", "to")}
+    out: dict[str, list] = {c: [] for c in ("doc_id", "from", "to", "key", "salt")}
+
+    def add(*values: int | None) -> None:
+        for column, value in zip(out.values(), values, strict=True):
+            column.append(value)
+
     if not rows["head"]:
         return out
     span = shape.least - shape.head
@@ -164,8 +173,13 @@ def group_matches(rows: dict[str, list], shape: Shape) -> dict[str, list]:
     least, most = shared.argmax(axis=1), span - shared[:, ::-1].argmax(axis=1)
     for i in np.flatnonzero(shared.any(axis=1)).tolist():
         for place in rows["places"][i]:
-            for name, value in zip(out, (int(doc[i]), place - int(most[i]), place - int(least[i]) + shape.least), strict=True):
-                out[name].append(value)
+            add(int(doc[i]), place - int(most[i]), place - int(least[i]) + shape.least, None, None)
+    if (salt >= 0).any():
+        for j in starts[several & (salt[row[starts]] >= 0)].tolist():
+            add(None, None, None, int(keys[row[j], offset[j]].view(np.int64)), int(salt[row[j]]))
+        for i, o in zip(*(x.tolist() for x in np.nonzero(whole & ~shared & (salt >= 0)[:, None])), strict=True):
+            for place in rows["places"][i]:
+                add(int(doc[i]), place - o, place - o + shape.least, int(keys[i, o].view(np.int64)), int(salt[i]))
     return out
 
 
@@ -189,7 +203,7 @@ def _matches(suffixes: DataFrame, shape: Shape) -> DataFrame:
         yield group_matches(rows, shape)
 
     dealt = suffixes.repartition("head", "salt").sortWithinPartitions("head", "salt")
-    return arrow_rows(dealt, each, "doc_id long, from int, to int")
+    return arrow_rows(dealt, each, "doc_id long, from int, to int, key long, salt int")
 
 
 def repeated_passages(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
@@ -203,10 +217,9 @@ def repeated_passages(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     Suffixes are retained at minimisers and brought together by head; all passages of ``least`` words
     that contain the head are compared, so that what documents share is found whole whatever stands
     around it.  A head that more than ``GROUP`` documents have is dealt by document into groups of
-    about that many, each sorted by itself, so no task holds all of a common passage.  Two documents
-    that share such a head, and go on alike for longer than the other thousands do, may fall into
-    different groups; the heads that begin farther on in their passage then show it.  Rows without doc_id or text,
-    and texts of fewer words, have no spans; tables without rows give none.
+    about that many, so no task holds all of a common passage; passages that only one document of
+    its group has are then compared across groups by key.  Rows without doc_id or text, and texts
+    of fewer words, have no spans; tables without rows give none.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     heads = cut(_heads(rows, shape))
@@ -216,7 +229,8 @@ def repeated_passages(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
         .filter("x < y")
         .select("head", "n")
     )
-    salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / GROUP)).cast("int")
+    # -1: all documents of the head are in one group.
+    salt = F.when(F.col("n") <= GROUP, -1).otherwise(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / GROUP))).cast("int")
     # A head with a thousandth of all suffixes is one of a thousand at most: these are broadcast, so
     # that a passage which many documents share does not meet in one task.
     frequent = shared.filter(F.col("n") * FREQUENT >= heads.count())
@@ -229,7 +243,14 @@ def repeated_passages(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.collect_set(F.struct("place", "head", salt.alias("salt"))).alias("places"))
     )
-    found = _matches(_suffixes(rows.join(places, "doc_id"), shape), shape)
+    found = cut(_matches(_suffixes(rows.join(places, "doc_id"), shape), shape))
+    keyed = found.filter("key IS NOT NULL")
+    across = keyed.groupBy("key").agg(F.min("salt").alias("x"), F.max("salt").alias("y")).filter("x < y").select("key")
+    found = (
+        found.filter("key IS NULL")
+        .unionByName(keyed.filter("doc_id IS NOT NULL").join(across, "key").select(*found.columns))
+        .select("doc_id", "from", "to")
+    )
     spans = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("s"))
     joined = F.aggregate(
         "s",
