@@ -156,6 +156,21 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     )
 
 
+def top_per_group(
+    df: DataFrame, group: list[str], order: list[Column], spread: str, k: int, name: str, salts: int = 64
+) -> DataFrame:
+    """The first ``k`` rows of each group in the given order, numbered from 1 in column ``name``.
+
+    Groups are first cut down in ``salts`` parts by the hash of column ``spread``, so that no task
+    sees more than ``salts * k`` rows of a group at the end, however large it is.
+    """
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
+    part = Window.partitionBy(*group, "__salt").orderBy(*order)
+    first = salted.withColumn("__rank", F.row_number().over(part)).filter(F.col("__rank") <= k)
+    whole = Window.partitionBy(*group).orderBy(*order)
+    return first.drop("__salt", "__rank").withColumn(name, F.row_number().over(whole)).filter(F.col(name) <= k)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """Rows of all frames."""
     return reduce(DataFrame.unionByName, frames)

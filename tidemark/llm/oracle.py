@@ -108,3 +108,34 @@ SELECT doc_id, size, source_size, target,
               + CASE WHEN size > 0 AND 2 * (2 * source_size + before) + size < 2 * target THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM placed
 """
+
+ORACLE["op12_search"] = r"""
+WITH term AS (
+    SELECT row, doc_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+    FROM (SELECT row_number() OVER () AS row, doc_id, text FROM documents)
+), tf AS (
+    SELECT row, doc_id, t, count(*) AS tf FROM term GROUP BY ALL
+), corpus AS (
+    SELECT count(DISTINCT row) AS n, count(*)::BIGINT AS l FROM term
+), size AS (
+    SELECT row, 75 + (25 * count(*) * any_value(c.n)) // any_value(c.l) AS m FROM term, corpus c GROUP BY row
+), asked AS (
+    SELECT item, item_id, t, count(*) AS times FROM (
+        SELECT item, item_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+        FROM (SELECT row_number() OVER () AS item, item_id, text FROM benchmark))
+    GROUP BY ALL
+), weight AS (
+    SELECT t, floor(1000 * ln((2 * c.n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+    FROM tf, corpus c WHERE t IN (SELECT t FROM asked) GROUP BY t, c.n
+), scored AS (
+    SELECT item, item_id, tf.row, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+    FROM asked JOIN weight USING (t) JOIN tf USING (t) JOIN size ON size.row = tf.row GROUP BY ALL
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""

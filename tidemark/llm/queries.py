@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +13,10 @@ from tidemark.llm import (
     html_text,
     labelled,
     language_id,
+    lexical_search,
     mixing,
     near_dedup,
+    packing,
     quality_classifier,
     quality_rules,
     sharding,
@@ -130,3 +133,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, model).select(
         "doc_id", (rest == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
     )
+
+
+@query
+def op11_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@query
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
