@@ -32,7 +32,7 @@ def test_query_matches_its_sql(spark, con, name):
 def test_registered():
     assert {*QUERIES, "pipeline"} <= set(contract.queries())
     assert set(ORACLE) <= set(contract.oracle_sql())
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
 
 
 def labels(spark, name, label):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.sources.tables import cut_lineage
+from tidemark.sources.tables import cut_lineage, shared_folder
 
 #: Separators between words: space and the five control characters from tab to carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -24,6 +24,19 @@ def cut(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def shared_table(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write a frame as Parquet under a name in the shared folder, and read it back."""
+    path = f"{shared_folder(df.sparkSession)}/{name}"
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_shared(spark: SparkSession, name: str) -> None:
+    """Remove a table that ``shared_table`` wrote, if there is one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, whole."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -19,12 +19,17 @@ from tidemark.llm.common import cut, top_per_group, union_all
 _SIGNS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Queries are taken in blocks of at most so many different terms (or one query).
 TERMS = 16_384
-#: Documents of one tree, and term entries of one tree, at most (or one document).
-TREE_DOCS = 4096
-TREE_ENTRIES = 4 << 20
-#: Documents below which a branch is not divided again, and terms of a path that divide.
-LEAF = 32
-DEPTH = 48
+
+
+@dataclass(frozen=True)
+class Shape:
+    """Size of trees: documents and term entries at most (or one document), documents below which a
+    branch is not divided again, and terms of a path that divide."""
+
+    docs: int = 4096
+    entries: int = 4 << 20
+    leaf: int = 32
+    depth: int = 48
 
 
 def terms(text: bytes | None) -> list[bytes]:
@@ -103,7 +108,17 @@ class Tree:
     them.  A branch knows the largest count of each term and the least length ``m`` below it.
     """
 
-    def __init__(self, ids: np.ndarray, unnamed: np.ndarray, m: np.ndarray, starts: np.ndarray, ranks: np.ndarray, counts: np.ndarray, n_terms: int) -> None:
+    def __init__(
+        self,
+        ids: np.ndarray,
+        unnamed: np.ndarray,
+        m: np.ndarray,
+        starts: np.ndarray,
+        ranks: np.ndarray,
+        counts: np.ndarray,
+        n_terms: int,
+        shape: Shape,
+    ) -> None:
         lengths = np.diff(starts)
         paths = [ranks[a:b].astype(">u4").tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
         order = np.array(sorted(range(len(ids)), key=paths.__getitem__), np.int64)
@@ -115,11 +130,11 @@ class Tree:
         self.parts = part_of(counts, np.repeat(self.m, lengths))
 
         place = np.arange(len(self.ranks)) - np.repeat(self.starts[:-1], lengths)
-        heads = np.full((len(ids), DEPTH), -1, np.int64)
-        early = place < DEPTH
+        heads = np.full((len(ids), shape.depth), -1, np.int64)
+        early = place < shape.depth
         heads[np.repeat(np.arange(len(ids)), lengths)[early], place[early]] = self.ranks[early]
         self.low, self.high, self.children = [], [], []
-        self._grow(heads)
+        self._grow(heads, shape.leaf)
 
         self.most = np.zeros((len(self.low), n_terms), np.int64)
         self.least_m = np.zeros(len(self.low), np.int64)
@@ -139,27 +154,27 @@ class Tree:
         self.children.append([])
         return len(self.low) - 1
 
-    def _grow(self, heads: np.ndarray) -> None:
+    def _grow(self, heads: np.ndarray, leaf: int) -> None:
         """Divide stretches by the next term of their paths; small neighbours stay in one leaf."""
         todo = [(self._add(0, len(heads)), 0)]
         while todo:
             node, depth = todo.pop()
             low, high = self.low[node], self.high[node]
-            while depth < DEPTH and high - low > LEAF and heads[low, depth] == heads[high - 1, depth] >= 0:
+            while depth < heads.shape[1] and high - low > leaf and heads[low, depth] == heads[high - 1, depth] >= 0:
                 depth += 1  # one common term: no division
-            if depth == DEPTH or high - low <= LEAF or heads[high - 1, depth] < 0:
+            if depth == heads.shape[1] or high - low <= leaf or heads[high - 1, depth] < 0:
                 continue
             column = heads[low:high, depth]
             edges = [low, *(np.flatnonzero(column[1:] != column[:-1]) + low + 1).tolist(), high]
             begin = low
             for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if b - a > LEAF:
+                if b - a > leaf:
                     if begin < a:
                         self.children[node].append(self._add(begin, a))
                     self.children[node].append(self._add(a, b))
                     todo.append((self.children[node][-1], depth + 1))
                     begin = b
-                elif b - begin > LEAF:
+                elif b - begin > leaf:
                     self.children[node].append(self._add(begin, a))
                     begin = a
             if begin < high:
@@ -201,7 +216,7 @@ def part_of(counts: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (1_000_000_000 * counts) // (1000 * counts + 12 * m)
 
 
-def _searched(vectors: DataFrame, queries: list[Query], known: int, k: int) -> DataFrame:
+def _searched(vectors: DataFrame, queries: list[Query], known: int, k: int, shape: Shape) -> DataFrame | None:
     """The best documents of each partition for each query of a block."""
     sums = vectors.agg(F.count("*").alias("n"), F.sum("n").alias("l")).first()
     n, total = sums["n"], sums["l"]
@@ -223,7 +238,7 @@ def _searched(vectors: DataFrame, queries: list[Query], known: int, k: int) -> D
         best: list[list[tuple]] = [[] for _ in queries]
         mine = np.zeros(known, np.int64)
         for batch in batches:
-            for some in _trees(batch, rank, n, total, known):
+            for some in _trees(batch, rank, n, total, known, shape):
                 for i, q in enumerate(queries):
                     mine[q.terms] = weight[q.terms] * q.repeats
                     best[i] = some.search(q, mine, best[i], k)
@@ -236,7 +251,7 @@ def _searched(vectors: DataFrame, queries: list[Query], known: int, k: int) -> D
     return vectors.mapInArrow(run, "number long, doc_id long, score long")
 
 
-def _trees(batch: pa.RecordBatch, rank: np.ndarray, n: int, total: int, known: int) -> Iterator[Tree]:
+def _trees(batch: pa.RecordBatch, rank: np.ndarray, n: int, total: int, known: int, shape: Shape) -> Iterator[Tree]:
     """The documents of a batch in trees of bounded size."""
     ids = batch.column("doc_id")
     unnamed = ids.is_null().to_numpy(zero_copy_only=False)
@@ -252,16 +267,16 @@ def _trees(batch: pa.RecordBatch, rank: np.ndarray, n: int, total: int, known: i
     ranks, counts = ranks[order], counts[order]
     low = 0
     while low < len(ids):
-        high = int(np.searchsorted(ends, ends[low] + TREE_ENTRIES, side="right")) - 1
-        high = max(low + 1, min(high, low + TREE_DOCS, len(ids)))
+        high = int(np.searchsorted(ends, ends[low] + shape.entries, side="right")) - 1
+        high = max(low + 1, min(high, low + shape.docs, len(ids)))
         entries = slice(ends[low], ends[high])
         yield Tree(
-            ids[low:high], unnamed[low:high], m[low:high], ends[low : high + 1] - ends[low], ranks[entries], counts[entries], known
+            ids[low:high], unnamed[low:high], m[low:high], ends[low : high + 1] - ends[low], ranks[entries], counts[entries], known, shape
         )
         low = high
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = 20, terms_at_once: int = TERMS) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, k: int = 20, terms_at_once: int = TERMS, shape: Shape = Shape()) -> DataFrame:
     """Each item's ``k`` best documents with a score above 0: item_id, rank, doc_id, score.
 
     ``docs`` has doc_id (an integer) and text, ``items`` item_id and text; other columns are not
@@ -283,15 +298,15 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, terms_at_once: int =
     id_type = items.schema["item_id"].dataType
     found = []
     for known, queries in _blocks(items, terms_at_once):
-        hits = _searched(cut(restricted(docs, known)), queries, len(known), k)
+        hits = _searched(cut(restricted(docs, known)), queries, len(known), k, shape)
         if hits is None:
             break
         best = top_per_group(hits, ["number"], [F.desc("score"), F.asc_nulls_last("doc_id")], "doc_id", k, "rank")
         names = docs.sparkSession.createDataFrame(
-            [(q.number, q.item_id) for q in queries], T.StructType().add("number", "long").add("item_id", id_type)
+            [(q.number, q.item_id) for q in queries], T.StructType().add("number", T.LongType()).add("item_id", id_type)
         )
         found.append(cut(best).join(F.broadcast(names), "number").select("item_id", "rank", "doc_id", "score"))
     if not found:
-        schema = T.StructType().add("item_id", id_type).add("rank", "int").add("doc_id", "long").add("score", "long")
+        schema = T.StructType().add("item_id", id_type).add("rank", T.IntegerType()).add("doc_id", T.LongType()).add("score", T.LongType())
         return docs.sparkSession.createDataFrame([], schema)
     return union_all(found)

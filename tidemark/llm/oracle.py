@@ -139,3 +139,41 @@ WITH term AS (
 )
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 20
 """
+
+ORACLE["op13_collocations"] = r"""
+WITH piece AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) AS p
+    FROM documents
+), words AS (
+    SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece
+), place AS (
+    SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words
+), phrase AS (
+    SELECT lang, k, list_slice(w, i, i + k - 1) AS p, count(*) AS f
+    FROM place, range(1, 6) AS t(k) WHERE i + k - 1 <= len(w) GROUP BY ALL
+), size AS (
+    SELECT lang, sum(f)::BIGINT AS n FROM phrase WHERE k = 1 GROUP BY lang
+), frequent AS (
+    SELECT * FROM phrase WHERE f >= 100
+), cuts AS (
+    SELECT c.lang, c.p, c.k, c.f AS a, x.f AS l, y.f AS r, n, cut,
+           ((1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+    FROM frequent c, range(1, 5) AS t(cut), frequent x, frequent y, size s
+    WHERE c.k >= 2 AND cut < c.k AND x.lang = c.lang AND y.lang = c.lang AND s.lang = c.lang
+      AND x.p = list_slice(c.p, 1, cut) AND y.p = list_slice(c.p, cut + 1, c.k)
+), lowest AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) AS place FROM cuts
+), covered AS (
+    SELECT lang, list_slice(p, b, b + m - 1) AS p, max(f) AS longer
+    FROM frequent, range(1, 5) AS t(b), range(2, 5) AS u(m)
+    WHERE m < k AND b + m - 1 <= k GROUP BY ALL
+), kept AS (
+    SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, n, score
+    FROM lowest LEFT JOIN covered USING (lang, p) WHERE place = 1 AND coalesce(longer < a, true)
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
