@@ -31,9 +31,9 @@ class Settings:
 
     longest: int = 5
     least: int = 100
-    shards: int = 4
+    shards: int = 2
     cells: int = 1 << 18
-    together: int = 24 << 20
+    together: int = 8 << 20
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -63,115 +63,194 @@ class _Words(dict):
         return self[word]
 
 
+class _Stretch:
+    """Words of some texts by number, and the phrases that a filter lets in.
+
+    Phrases are told apart by numbers given to words and to beginnings, not by their hashes.
+    """
+
+    def __init__(self, texts: list[tuple[str, bytes]]) -> None:
+        import xxhash
+
+        words, langs = _Words(), _Words()
+        border, stop = words[b"\n"], words[b"."]
+        numbers, of_lang, self.ends = [], [], []
+        for lang, text in texts:
+            # The sign "." is never part of a word here: it stands for any border of pieces.
+            found = text.translate(_SIGNS).replace(b"\n", b" . ").split()
+            mine = np.fromiter(map(words.__getitem__, found), np.int32, len(found))
+            numbers.append(np.append(mine, np.int32(border)))
+            of_lang.append(np.full(len(found) + 1, langs[lang.encode()], np.int32))
+            self.ends.append(len(found) + 1)
+        self.word, self.lang = np.concatenate(numbers).astype(np.int64), np.concatenate(of_lang).astype(np.int64)
+        self.inside = (self.word != border) & (self.word != stop)
+        self.names, self.langs = list(words), [name.decode() for name in langs]
+        self._hash_of_word = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+        self._hash_of_lang = np.array([xxhash.xxh3_64_intdigest(w, seed=1) for w in langs], np.uint64)
+
+    def phrases(self, now: np.ndarray, longest: int) -> Iterator[_Phrases]:
+        """Words, then the phrases of 2, 3 ... words whose beginning and end the filter holds."""
+        at = np.flatnonzero(self.inside)
+        keys, first, number, counts = np.unique(
+            self.lang[at] << 32 | self.word[at], return_index=True, return_inverse=True, return_counts=True
+        )
+        single = np.full(len(self.word), -1, np.int64)
+        single[at] = number
+        where = at[first]
+        single_hash = hashes = _mixed(self._hash_of_word[self.word[where]] ^ self._hash_of_lang[self.lang[where]])
+        yield _Phrases(1, at, number, where, hashes, counts, None, None)
+        for length in range(2, longest + 1):
+            frequent = _holds(now, hashes)
+            # A phrase begins where its beginning does and where its end begins one word later.
+            number_at = np.full(len(self.word) + 1, -1, np.int64)
+            number_at[at] = number
+            end = number_at[at + 1]
+            good = frequent[number] & (end >= 0)
+            good[good] = frequent[end[good]]
+            at, number, end = at[good], number[good], end[good]
+            last = single[at + length - 1]
+            keys, first, inverse, counts = np.unique(
+                number << 32 | last, return_index=True, return_inverse=True, return_counts=True
+            )
+            begin, end = number[first], end[first]
+            hashes = _mixed(hashes[begin] * _ODD[2] + single_hash[last[first]])
+            number = inverse
+            yield _Phrases(length, at, number, at[first], hashes, counts, begin, end)
+
+    def text(self, place: int, length: int) -> bytes:
+        """Words from a place on, joined by blanks."""
+        return b" ".join([self.names[w] for w in self.word[place : place + length].tolist()])
+
+
+@dataclass(frozen=True)
+class _Phrases:
+    """Phrases of one length: where they begin and which they are; of each a place, its hash and count,
+    and the shorter phrases that are its beginning and its end."""
+
+    length: int
+    at: np.ndarray
+    number: np.ndarray
+    where: np.ndarray
+    hashes: np.ndarray
+    counts: np.ndarray
+    begin: np.ndarray | None
+    end: np.ndarray | None
+
+
 def counted(texts: list[tuple[str, bytes]], now: np.ndarray, cycle_ago: np.ndarray | None, longest: int) -> pd.DataFrame:
     """Counts of the active phrases in some texts: lang, words (their number), phrase, hash, c.
 
     Words are active in the first cycle, that is without ``cycle_ago``.  A longer phrase is active if
     the filter ``now`` holds both its beginning and its end, the phrases shorter by one word, and
-    ``cycle_ago`` did not: then it has been counted in a whole cycle.  Phrases are told apart by
-    numbers given to words and to beginnings, not by their hashes.
+    ``cycle_ago`` did not let it in already: then it has been counted in a whole cycle.
     """
-    import xxhash
-
-    words, langs = _Words(), _Words()
-    border = words[b"\n"]
-    numbers: list[np.ndarray] = []
-    of_lang: list[np.ndarray] = []
-    for lang, text in texts:
-        found = text.translate(_SIGNS).replace(b"\n", b" . ").split()
-        # The sign "." is never part of a word here: it stands for any border of pieces.
-        mine = np.fromiter(map(words.__getitem__, found), np.int64, len(found))
-        numbers.append(np.append(mine, border))
-        of_lang.append(np.full(len(found) + 1, langs[lang.encode()], np.int64))
-    word, lang = np.concatenate(numbers), np.concatenate(of_lang)
-    inside = (word != border) & (word != words.get(b".", border))
-
-    names = list(words)
-    hash_of_word = np.array([xxhash.xxh3_64_intdigest(w) for w in names], np.uint64)
-    hash_of_lang = np.array([xxhash.xxh3_64_intdigest(w, seed=1) for w in langs], np.uint64)
-    lang_names = [w.decode() for w in langs]
-
+    stretch = _Stretch(texts)
     out: list[pd.DataFrame] = []
-
-    def give(length: int, which: np.ndarray, lang_of: np.ndarray, phrases: list[bytes], hashes: np.ndarray, counts: np.ndarray) -> None:
-        out.append(
-            pd.DataFrame(
-                {
-                    "lang": [lang_names[i] for i in lang_of[which].tolist()],
-                    "words": np.full(len(which), length, np.int32),
-                    "phrase": [p.decode() for p in phrases],
-                    "hash": hashes[which].view(np.int64),
-                    "c": counts[which],
-                }
+    before, shorter = np.empty(0, bool), np.empty(0, np.uint64)
+    for p in stretch.phrases(now, longest):
+        # Whether a phrase was active one cycle ago; if there is one, all words were.
+        if p.begin is None:
+            before = np.full(len(p.where), cycle_ago is not None)
+        elif cycle_ago is not None:
+            before = before & _holds(cycle_ago, shorter)
+            before = before[p.begin] & before[p.end]
+        else:
+            before = np.zeros(len(p.where), bool)
+        shorter = p.hashes
+        which = np.flatnonzero(~before)
+        if len(which):
+            where = p.where[which]
+            out.append(
+                pd.DataFrame(
+                    {
+                        "lang": [stretch.langs[i] for i in stretch.lang[where].tolist()],
+                        "words": np.full(len(which), p.length, np.int32),
+                        "phrase": [stretch.text(i, p.length).decode() for i in where.tolist()],
+                        "hash": p.hashes[which].view(np.int64),
+                        "c": p.counts[which],
+                    }
+                )
             )
-        )
-
-    # Places where a phrase of the current length begins, and the number of that phrase.
-    at = np.flatnonzero(inside)
-    keys, first, number, counts = np.unique(lang[at] << 32 | word[at], return_index=True, return_inverse=True, return_counts=True)
-    first = at[first]
-    lang_of = lang[first]
-    single = np.full(len(word), -1, np.int64)
-    single[at] = number
-    single_hash = hashes = _mixed(hash_of_word[word[first]] ^ hash_of_lang[lang_of])
-    # Whether a phrase was active one cycle ago already; so were all words.
-    before = np.full(len(keys), cycle_ago is not None)
-    if cycle_ago is None:
-        give(1, np.arange(len(keys)), lang_of, [names[w] for w in word[first].tolist()], hashes, counts)
-    for length in range(2, longest + 1):
-        if not len(at):
+        if not len(p.at):
             break
-        frequent = _holds(now, hashes)
-        if cycle_ago is not None:
-            before &= _holds(cycle_ago, hashes)
-        # A phrase begins where its beginning does and where its end begins one word later.
-        number_at = np.full(len(word) + 1, -1, np.int64)
-        number_at[at] = number
-        end = number_at[at + 1]
-        good = frequent[number] & (end >= 0)
-        good[good] = frequent[end[good]]
-        at, number, end = at[good], number[good], end[good]
-        last = single[at + length - 1]
-        keys, first, inverse, counts = np.unique(number << 32 | last, return_index=True, return_inverse=True, return_counts=True)
-        before = before[number[first]] & before[end[first]]
-        hashes = _mixed(hashes[number[first]] * _ODD[2] + single_hash[last[first]])
-        which = np.flatnonzero(~before)
-        starts = at[first][which]
-        phrases = [b" ".join([names[w] for w in word[s : s + length].tolist()]) for s in starts.tolist()]
-        give(length, which, lang[at[first]], phrases, hashes, counts)
-        number = inverse
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["lang", "words", "phrase", "hash", "c"])
 
 
+def shortened(texts: list[tuple[str, bytes]], now: np.ndarray, length: int) -> list[bytes]:
+    """The texts without words that lie in no phrase of ``length`` words that the filter holds.
+
+    Words left next to each other are a line; lines of ``length`` words or fewer are left out.
+    """
+    stretch = _Stretch(texts)
+    steps = np.zeros(len(stretch.word) + 1, np.int64)
+    for p in stretch.phrases(now, length):
+        if p.length == length:
+            held = p.at[_holds(now, p.hashes)[p.number]]
+            steps[held] += 1
+            np.subtract.at(steps, held + length, 1)
+    covered = np.cumsum(steps) > 0  # False at its end
+    edges = np.flatnonzero(np.diff(covered, prepend=False))
+    lines: list[list[bytes]] = [[] for _ in texts]
+    text_of = np.searchsorted(np.cumsum(stretch.ends), edges[::2], side="right")
+    for text, a, b in zip(text_of.tolist(), edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        if b - a > length:
+            lines[text].append(stretch.text(a, b - a))
+    return [b"\n".join(of_text) for of_text in lines]
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list[tuple[str, bytes]], list[int]]]:
+    """Texts with their languages, and their shards, about ``size`` bytes at a time."""
+    texts: list[tuple[str, bytes]] = []
+    shards: list[int] = []
+    so_far = 0
+    for batch in batches:
+        column = batch.column("text")
+        encoded = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+        rows = zip(batch.column("lang").to_pylist(), encoded, batch.column("shard").to_pylist(), strict=True)
+        for lang, text, shard in rows:
+            texts.append((lang, text.as_py()))
+            shards.append(shard)
+            so_far += len(texts[-1][1])
+            if so_far > size:
+                yield texts, shards
+                texts, shards, so_far = [], [], 0
+    if texts:
+        yield texts, shards
+
+
 def _scan(shard: DataFrame, now: np.ndarray, cycle_ago: np.ndarray | None, settings: Settings) -> DataFrame:
-    """Counts of the active phrases in a shard."""
+    """Counts of the active phrases in a shard, stretch by stretch."""
     sent = shard.sparkSession.sparkContext.broadcast((now, cycle_ago))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, cycle_ago = sent.value
         schema = pa.schema(
             [("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("hash", pa.int64()), ("c", pa.int64())]
         )
-
-        def given() -> Iterator[pa.RecordBatch]:
-            found = counted(texts, now, cycle_ago, settings.longest)
+        for texts, _ in _stretches(batches, settings.together):
+            found = counted(texts, *sent.value, settings.longest)
             yield from pa.Table.from_pandas(found, schema, preserve_index=False).to_batches(1 << 16)
 
-        texts: list[tuple[str, bytes]] = []
-        size = 0
-        for batch in batches:
-            column = batch.column("text")
-            encoded = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
-            for lang, text in zip(batch.column("lang").to_pylist(), encoded, strict=True):
-                texts.append((lang, text.as_py()))
-                size += len(texts[-1][1])
-                if size > settings.together:
-                    yield from given()
-                    texts, size = [], 0
-        if texts:
-            yield from given()
+    return shard.select("lang", "text", "shard").mapInArrow(run, "lang string, words int, phrase string, hash long, c long")
+
 
-    return shard.select("lang", "text").mapInArrow(run, "lang string, words int, phrase string, hash long, c long")
+def _shorten(shards: DataFrame, now: np.ndarray, length: int, settings: Settings) -> DataFrame:
+    """The shards with what later cycles can still need: runs of frequent phrases of ``length`` words."""
+    sent = shards.sparkSession.sparkContext.broadcast(now)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts, of_shard in _stretches(batches, settings.together):
+            left = shortened(texts, sent.value, length)
+            kept = [i for i, text in enumerate(left) if text]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([texts[i][0] for i in kept], pa.string()),
+                    pa.array([left[i].decode() for i in kept], pa.string()),
+                    pa.array([of_shard[i] for i in kept], pa.int32()),
+                ],
+                names=["lang", "text", "shard"],
+            )
+
+    return shards.select("lang", "text", "shard").mapInArrow(run, "lang string, text string, shard int")
 
 
 def _with_frequent(filter_: np.ndarray, found: DataFrame) -> tuple[np.ndarray, bool]:
@@ -208,6 +287,9 @@ def frequent_phrases(docs: DataFrame, settings: Settings = Settings()) -> DataFr
     counted, but no count wrong.  What is active in a shard follows from the filters after the shard
     before and one cycle ago alone, so each phrase is counted once in each shard.
 
+    After n whole cycles all phrases of n words are counted.  Words that lie in no frequent one of
+    them are then left out of the shards, as no longer candidate can hold them.
+
     Shards and counts are tables in the shared folder; those that are no longer needed are removed.
     """
     spark = docs.sparkSession
@@ -218,7 +300,7 @@ def frequent_phrases(docs: DataFrame, settings: Settings = Settings()) -> DataFr
         docs.filter("text IS NOT NULL").select(
             lang.alias("lang"), "text", F.pmod(F.xxhash64(*salted), F.lit(settings.shards)).cast("int").alias("shard")
         ),
-        f"{folder}/shards",
+        f"{folder}/shards0",
         by="shard",
     )
     filters: list[np.ndarray | None] = [np.zeros(settings.cells, np.uint64)]
@@ -237,6 +319,10 @@ def frequent_phrases(docs: DataFrame, settings: Settings = Settings()) -> DataFr
 
     step = unchanged = 0
     while step < settings.shards or unchanged < settings.shards:
+        cycle = step // settings.shards
+        if cycle and step % settings.shards == 0:
+            shards = shared_table(_shorten(shards, filters[step], cycle, settings), f"{folder}/shards{cycle}", by="shard")
+            drop_shared(spark, f"{folder}/shards{cycle - 1}")
         cycle_ago = filters[step - settings.shards] if step >= settings.shards else None
         shard = shards.filter(F.col("shard") == step % settings.shards)
         found = _scan(shard, filters[step], cycle_ago, settings).withColumn("since", F.lit(step))
@@ -262,7 +348,7 @@ def frequent_phrases(docs: DataFrame, settings: Settings = Settings()) -> DataFr
         unchanged = 0 if grown else unchanged + 1
         step += 1
     finish(totals, step)
-    for name in ("shards", f"step{step - 1}"):
+    for name in (f"shards{(step - 1) // settings.shards}", f"step{step - 1}"):
         drop_shared(spark, f"{folder}/{name}")
     return union_all(finished).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
 
