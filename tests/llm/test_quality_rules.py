@@ -21,7 +21,7 @@ def brute(text):
 TEXTS = [
     (1, None), (2, ""), (3, " \n\t "), (4, "a b c a b c"), (5, "a a a a a"), (6, "x\nx\n\n y\ny"), (7, words(0, 60)),
     (8, "<b> #1 & 𝒳é | $"), (9, " ".join(["a b c"] * 30)), (9, " ".join(["a b c"] * 30)), (None, "only one"),
-    (10, words(0, 20_000)), (11, " ".join(f"{w}!!" for w in words(0, 60).upper().split())), (12, " \x0bq\x0cq"),
+    (10, words(0, 20_000)), (11, " ".join(f"LOUD{chr(65 + i // 26)}{chr(65 + i % 26)}!!" for i in range(60))), (12, " \x0bq\x0cq"),
 ]
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 

@@ -33,7 +33,7 @@ class Settings:
     least: int = 100
     shards: int = 2
     cells: int = 1 << 18
-    together: int = 8 << 20
+    together: int = 3 << 20
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -287,8 +287,8 @@ def frequent_phrases(docs: DataFrame, settings: Settings = Settings()) -> DataFr
     counted, but no count wrong.  What is active in a shard follows from the filters after the shard
     before and one cycle ago alone, so each phrase is counted once in each shard.
 
-    After n whole cycles all phrases of n words are counted.  Words that lie in no frequent one of
-    them are then left out of the shards, as no longer candidate can hold them.
+    After n whole cycles all phrases of n words are counted.  From the second on, words that lie in
+    no frequent one of them are then left out of the shards, as no longer candidate can hold them.
 
     Shards and counts are tables in the shared folder; those that are no longer needed are removed.
     """
@@ -320,9 +320,9 @@ def frequent_phrases(docs: DataFrame, settings: Settings = Settings()) -> DataFr
     step = unchanged = 0
     while step < settings.shards or unchanged < settings.shards:
         cycle = step // settings.shards
-        if cycle and step % settings.shards == 0:
+        if cycle > 1 and step % settings.shards == 0:
             shards = shared_table(_shorten(shards, filters[step], cycle, settings), f"{folder}/shards{cycle}", by="shard")
-            drop_shared(spark, f"{folder}/shards{cycle - 1}")
+            drop_shared(spark, f"{folder}/shards{cycle - 1 if cycle > 2 else 0}")
         cycle_ago = filters[step - settings.shards] if step >= settings.shards else None
         shard = shards.filter(F.col("shard") == step % settings.shards)
         found = _scan(shard, filters[step], cycle_ago, settings).withColumn("since", F.lit(step))
@@ -348,7 +348,7 @@ def frequent_phrases(docs: DataFrame, settings: Settings = Settings()) -> DataFr
         unchanged = 0 if grown else unchanged + 1
         step += 1
     finish(totals, step)
-    for name in (f"shards{(step - 1) // settings.shards}", f"step{step - 1}"):
+    for name in (f"shards{cycle if cycle > 1 else 0}", f"step{step - 1}"):
         drop_shared(spark, f"{folder}/{name}")
     return union_all(finished).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
 
