@@ -92,26 +92,34 @@ SNAP = (
 )
 
 
+def with_next(table: str, key: str, counters: list[str]) -> str:
+    """Rows with the counters of the key's next row, and whether that is of the following interval."""
+    leads = ", ".join(f"lead({c}) OVER along AS next_{c}" for c in counters)
+    return (
+        f"SELECT *, coalesce((lead(interval_id) OVER along) = interval_id + 1, false) AS is_delta, {leads} "
+        f"FROM {table} WINDOW along AS (PARTITION BY {key} ORDER BY interval_id)"
+    )
+
+
 def delta_body(zeroed: bool = False) -> str:
     def step(c: str) -> str:
-        d = f"n.{c} - s.{c}"
+        d = f"next_{c} - {c}"
         return f"greatest({d}, 0)" if zeroed else d
 
     def metric(m: str) -> str:
         mean = f"coalesce(({step('total_' + m)}) // nullif({step('execution_count')}, 0), 0)"
         return (
-            f"CASE WHEN n.query_id IS NULL THEN s.total_{m} ELSE {step('total_' + m)} END AS total_{m}, "
-            f"s.last_{m}, s.min_{m}, s.max_{m}, "
-            f"CASE WHEN n.query_id IS NULL THEN s.avg_{m} ELSE {mean} END AS avg_{m}"
+            f"CASE WHEN is_delta THEN {step('total_' + m)} ELSE total_{m} END AS total_{m}, "
+            f"last_{m}, min_{m}, max_{m}, CASE WHEN is_delta THEN {mean} ELSE avg_{m} END AS avg_{m}"
         )
 
     return (
-        "SELECT s.query_id, s.interval_id, s.creation_time, s.last_execution_time, "
-        "CASE WHEN n.query_id IS NULL THEN s.execution_count "
-        f"ELSE {step('execution_count')} END AS execution_count, "
+        "SELECT query_id, interval_id, creation_time, last_execution_time, "
+        f"CASE WHEN is_delta THEN {step('execution_count')} ELSE execution_count END AS execution_count, "
         + ", ".join(metric(m) for m in METRICS)
-        + ", n.query_id IS NOT NULL AS is_delta FROM snap s "
-        "LEFT JOIN snap n ON n.query_id = s.query_id AND n.interval_id = s.interval_id + 1"
+        + ", is_delta FROM ("
+        + with_next("snap", "query_id", ["execution_count", *[f"total_{m}" for m in METRICS]])
+        + ")"
     )
 
 
@@ -144,12 +152,9 @@ BY_TYPE = (
 )
 WAIT_DELTA = (
     "ws",
-    "SELECT * FROM (SELECT s.interval_id, s.wait_type, "
-    + ", ".join(
-        f"CASE WHEN n.wait_type IS NULL THEN s.{c} ELSE n.{c} - s.{c} END AS {c}" for c in WAIT_COLUMNS
-    )
-    + ", n.wait_type IS NOT NULL AS is_delta FROM wsnap s LEFT JOIN wsnap n "
-    "ON n.wait_type = s.wait_type AND n.interval_id = s.interval_id + 1) "
+    "SELECT * FROM (SELECT interval_id, wait_type, "
+    + ", ".join(f"CASE WHEN is_delta THEN next_{c} - {c} ELSE {c} END AS {c}" for c in WAIT_COLUMNS)
+    + f", is_delta FROM ({with_next('wsnap', 'wait_type', list(WAIT_COLUMNS))})) "
     "WHERE NOT (is_delta AND waiting_tasks_count = 0)",
 )
 WAITS = (MEASURED, INTERVALS, HOURS, BY_TYPE, WAIT_SNAP, WAIT_DELTA)
@@ -482,6 +487,9 @@ ORACLE: dict[str, str] = {
     "runtime_delta_latest": ctes(*HISTORY)
     + "SELECT * FROM qrs WHERE interval_id = (SELECT max(interval_id) - 1 FROM iv)",
     "wait_delta": ctes(*WAITS) + "SELECT * FROM ws",
+    "catch_up": ctes(*HISTORY) + "SELECT * FROM qrs",
+    "stream_runtime_landed": ctes(*HISTORY) + "SELECT * FROM qrs",
+    "stream_waits_landed": ctes(*WAITS) + "SELECT * FROM ws",
     "top_avg_duration": top_runtime("CAST(sum(avg_elapsed_time) AS BIGINT) // count(avg_elapsed_time)", "avg_elapsed_time"),
     "top_executions": top_runtime("CAST(sum(execution_count) AS BIGINT)", "count_exec"),
     "distinct_queries": ctes(*HISTORY, EXCLUDED) + DISTINCT.format(hours=24),
@@ -604,6 +612,11 @@ def charted(name: str, keys: str, values: tuple[str, ...]) -> str:
     return f"SELECT {keys}, {sums} FROM ({ORACLE[name]}) GROUP BY ALL"
 
 
+STRICT = ("qrs", f"SELECT * FROM ({delta_body()}) WHERE is_delta")
+for report in ("top_avg_duration", "worker_time"):
+    ORACLE[f"{report}_strict"] = ORACLE[report].replace(f"{DELTA[0]} AS ({DELTA[1]})", f"{STRICT[0]} AS ({STRICT[1]})")
+    assert ORACLE[f"{report}_strict"] != ORACLE[report]
+ORACLE["cleanup_stored"] = ORACLE["retention_stats"]
 ORACLE["item_count_chart"] = charted("item_count", "database", ("queries", "plans", "runtime_stats"))
 ORACLE["io_chart"] = charted("io", "time_date, database_name", ("avg_logical_reads", "avg_logical_writes"))
 ORACLE["elapsed_time_chart"] = charted("elapsed_time", "time_date, database_name", ("avg_elapsed_time",))

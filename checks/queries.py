@@ -20,11 +20,13 @@ from tidemark.schemas import (
     HASHES_SINCE,
     ROWS_SINCE,
     STATEMENT_HANDLE_SINCE,
+    SNAPSHOTS,
     STORE_TABLES,
     VERSIONED_COLUMNS,
 )
 from tidemark.sources import align, catalog, ingest, log
-from tidemark.sources.tables import shared_folder
+from tidemark.sources.cleanup import cleanup
+from tidemark.sources.tables import create_store, read_table, shared_folder, write_store
 from tidemark.sources.workload import (
     AS_OF,
     DAY,
@@ -36,7 +38,7 @@ from tidemark.sources.workload import (
 )
 from tidemark.store import empty_store
 from tidemark.streaming.deltas import stream_delta, stream_wait_delta
-from tidemark.streaming.publish import read_snapshots
+from tidemark.streaming.publish import publish_differences, read_snapshots
 from tidemark.streaming.totals import interval_totals
 
 TABLES = (
@@ -345,6 +347,19 @@ def wait_delta(w: Workload) -> DataFrame:
     return deltas.wait_delta(snapshots.wait_snapshot(w.wait_counters()))
 
 
+@query
+def catch_up(w: Workload) -> DataFrame:
+    """A history whose last day of runs stopped before their differences, and the run that makes up for it."""
+    rows = w.runtime_snapshots()
+    newest = relational.next_id(w.intervals(), "interval_id")
+    done = deltas.runtime_delta(rows).filter(F.col("interval_id") < newest - 24)
+    left = rows.filter(F.col("interval_id").between(newest - 24, newest - 1))
+    stored = done.unionByName(left.withColumn("is_delta", F.lit(False)))
+    later = rows.filter(F.col("interval_id") == newest)
+    made_up = deltas.catch_up(stored, later, deltas.runtime_delta_step)
+    return made_up.unionByName(later.withColumn("is_delta", F.lit(False)))
+
+
 # -- reports -----------------------------------------------------------------
 
 
@@ -353,6 +368,16 @@ def top_avg_duration(w: Workload) -> DataFrame:
     return reports.top_avg_duration(w.store(*RUNTIME), AS_OF, DAY)
 
 
+@query
+def top_avg_duration_strict(w: Workload) -> DataFrame:
+    return reports.top_avg_duration(w.store(*RUNTIME), AS_OF, DAY, strict=True)
+
+
+@query
+def worker_time_strict(w: Workload) -> DataFrame:
+    return reports.worker_time(w.store(*RUNTIME), AS_OF, EIGHT_DAYS, strict=True)
+
+
 @query
 def top_executions(w: Workload) -> DataFrame:
     return reports.top_executions(w.store(*RUNTIME), AS_OF, DAY)
@@ -561,6 +586,22 @@ def retention_throttled(w: Workload) -> DataFrame:
     return retention.keep_runtime(runtime, _candidates(w, runtime), THROTTLE)
 
 
+@query
+def cleanup_stored(w: Workload) -> DataFrame:
+    """Retention on a written store: runtime rows that are left for readers."""
+    root = f"{shared_folder(w.spark)}/store-{uuid4().hex}"
+    complete = {"queries": w.aging_queries(), "plans": w.aging_plans()}
+    store = empty_store(w.spark).with_frames(
+        query_runtime_stats=_runtime(w),
+        wait_stats=w.store("wait_stats").wait_stats,
+        intervals=w.intervals(),
+        activity_log=w.activity_log(),
+        **{name: df.to(STORE_TABLES[name]) for name, df in complete.items()},
+    )
+    write_store(store, root)
+    return cleanup(w.spark, root, AS_OF, RETENTION_DAYS).query_runtime_stats
+
+
 # -- whole runs and streams ----------------------------------------------------
 
 
@@ -590,7 +631,7 @@ def _streamed(stream: DataFrame, folder: str) -> DataFrame:
 
 
 def _snapshot_stream(w: Workload, df: DataFrame, name: str, folder: str) -> DataFrame:
-    df.select(*STORE_TABLES[name].names).write.parquet(f"{folder}/in")
+    df.select(*SNAPSHOTS[name].names).write.parquet(f"{folder}/in")
     return read_snapshots(w.spark, f"{folder}/in", name)
 
 
@@ -612,6 +653,33 @@ def stream_waits_delta(w: Workload) -> DataFrame:
     return _streamed(stream_wait_delta(waits_in), folder)
 
 
+def _landed(w: Workload, df: DataFrame, name: str) -> DataFrame:
+    """Snapshots of two halves of the history, streamed one after the other into a store of differences."""
+    folder = _folder(w)
+    newest = relational.next_id(w.intervals(), "interval_id")
+    halves = (F.col("interval_id") * 2 > newest).cast("int").alias("half")
+    rows = df.select(*SNAPSHOTS[name].names, halves)
+    create_store(w.spark, f"{folder}/store")
+    for half in (0, 1):
+        part = rows.filter(F.col("half") == half).drop("half")
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = read_snapshots(w.spark, f"{folder}/in", name)
+        writer = stream.writeStream.foreachBatch(publish_differences(f"{folder}/store", name))
+        writer = writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+        writer.start().awaitTermination()
+    return read_table(w.spark, f"{folder}/store", name)
+
+
+@query
+def stream_runtime_landed(w: Workload) -> DataFrame:
+    return _landed(w, w.runtime_snapshots(), "query_runtime_stats")
+
+
+@query
+def stream_waits_landed(w: Workload) -> DataFrame:
+    return _landed(w, snapshots.wait_snapshot(w.wait_counters()), "wait_stats")
+
+
 @query
 def stream_interval_totals(w: Workload) -> DataFrame:
     folder = _folder(w)

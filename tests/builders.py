@@ -9,7 +9,8 @@ from tidemark.store import Store, empty_table
 
 
 def frame(spark, name, data):
-    return spark.createDataFrame(data, schemas.STORE_TABLES[name])
+    """Rows of a store table; of facts as their snapshots have them."""
+    return spark.createDataFrame(data, schemas.SNAPSHOTS.get(name, schemas.STORE_TABLES[name]))
 
 
 def runtime(spark, data):

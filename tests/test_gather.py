@@ -115,6 +115,55 @@ def test_three_runs(spark, root):
     assert rows(reports.top_waits(store, ts(3))) == [("IO", 20)]
 
 
+def snapshots_of(spark, hour):
+    """What the server shows at an hour: counters grow, one query comes late, one wait stands still at times."""
+    counters = [(b"p1", b"a", 2 * hour, 10 * hour * hour)] + ([(b"p2", b"b", hour, 7 * hour)] if hour > 1 else [])
+    return inputs(spark, counters, [("IO", 3 * hour, 5 * hour), ("NET", 1 + hour // 3, 4 + hour // 3)])
+
+
+FACTS = ("query_runtime_stats", "wait_stats")
+
+
+@pytest.mark.parametrize("stopped", [{2}, {2, 3}, {1, 2, 3}])
+@pytest.mark.parametrize("half", [False, True])
+def test_runs_that_stopped_before_their_differences_are_made_up_for(spark, root, tmp_path, stopped, half):
+    undisturbed = str(tmp_path / "undisturbed")
+    create_store(
+        spark,
+        undisturbed,
+        monitored_databases=spark.createDataFrame([("shop",)], "database_name string"),
+        wait_type_filter=b.wait_filter(spark, "IDLE"),
+    )
+    for hour in range(1, 5):
+        collect(spark, undisturbed, snapshots_of(spark, hour), hour)
+        run = gather(snapshots_of(spark, hour), read_store(spark, root), ACTIVE, ts(hour))
+        if hour not in stopped:
+            publish_run(run.changes, root, run.interval_ids)
+            continue
+        newest = max(run.interval_ids)
+        opened = {n: df for n, df in run.changes.items() if n != "activity_log"}
+        for name in FACTS:
+            opened[name] = opened[name].filter(f"interval_id = {newest}")
+        publish_run(opened, root, [newest])
+        if half and newest > 1:  # the differences of one fact got through
+            publish_run({"wait_stats": run.changes["wait_stats"]}, root, run.interval_ids)
+    left, right = read_store(spark, root), read_store(spark, undisturbed)
+    for name in (*FACTS, "intervals", "plans", "queries", "plan_dbid"):
+        columns = sorted(getattr(right, name).columns)
+        assert rows(getattr(left, name), *columns) == rows(getattr(right, name), *columns), name
+    states = rows(left.query_runtime_stats, "interval_id", "is_delta")
+    assert set(states) == {(1, True), (2, True), (3, True), (4, False)}
+
+
+def test_strict_reports_leave_lifetime_counters_out(spark, root):
+    for hour in (1, 2):
+        collect(spark, root, inputs(spark, [(b"p1", b"a", 2 * hour, 10), (b"gone", b"c", 9, 9000)][: 3 - hour], [("IO", hour, 5)]), hour)
+    store = read_store(spark, root)
+    assert len(rows(reports.top_executions(store, ts(2)))) == 2
+    assert len(rows(reports.top_executions(store, ts(2), strict=True))) == 1
+    assert rows(reports.top_waits(store, ts(2), strict=True)) == [("IO", 0)]
+
+
 def test_an_interval_whose_waits_all_stood_still_is_emptied(spark, root):
     source = inputs(spark, [(b"p1", b"a", 2, 10)], [("IO", 1, 5)])
     collect(spark, root, source, 1)

@@ -6,7 +6,7 @@ from tests import builders as b
 from tests.conftest import rows, ts
 from tidemark.schemas import STORE_TABLES
 from tidemark.sources.cleanup import cleanup
-from tidemark.sources.tables import write_store
+from tidemark.sources.tables import append_rows, compact, read_store, write_store
 from tidemark.operators.retention import exclude_query, purge, retention, retention_candidates
 
 
@@ -105,14 +105,48 @@ def test_cleanup_of_stored_files_equals_retention(spark, store, tmp_path, max_ro
         plans=complete(store.plans, "plans"), queries=complete(store.queries, "queries")
     )
     write_store(full, root)
-    untouched = {f.name for f in (tmp_path / "store/query_runtime_stats/interval_id=3").glob("*.parquet")}
+    facts = lambda: {
+        str(f) for n in ("query_runtime_stats", "wait_stats") for f in (tmp_path / "store" / n).rglob("*.parquet")
+    }
+    untouched = facts()
     got = cleanup(spark, root, ts(day=10), 5, max_rows)
     first = shape(got)
     assert first == shape(retention(store, ts(day=10), 5, max_rows))
-    assert {f.name for f in (tmp_path / "store/query_runtime_stats/interval_id=3").glob("*.parquet")} == untouched
+    assert facts() == untouched
     assert not list((tmp_path / "store").glob("*__*"))
     again = cleanup(spark, root, ts(day=10), 255)
     assert shape(again) == first
+    for name in ("query_runtime_stats", "wait_stats"):
+        compact(spark, root, name)
+        compact(spark, root, name)
+    assert not list((tmp_path / "store").glob("expired_*")) and facts().isdisjoint(untouched)
+    assert shape(read_store(spark, root)) == first
+
+
+def test_ids_that_are_given_again_are_not_hidden(spark, store, tmp_path):
+    root = str(tmp_path / "store")
+    full = store.with_frames(
+        plans=complete(store.plans, "plans"), queries=complete(store.queries, "queries")
+    )
+    write_store(full, root)
+    cleanup(spark, root, ts(day=10), 5)
+    append_rows(b.runtime(spark, [(3, 9, 1, 1, ts(day=10)), (2, 9, 1, 1, ts(day=10))]), root, "query_runtime_stats")
+    append_rows(b.waits(spark, [(9, "a", 1, 1)]), root, "wait_stats")
+    got = read_store(spark, root)
+    assert {(2, 9), (3, 9)} < set(rows(got.query_runtime_stats, "query_id", "interval_id"))
+    assert (9, "a") in rows(got.wait_stats, "interval_id", "wait_type")
+
+
+def test_expired_wait_folders_stay_unread(spark, store, tmp_path):
+    root = str(tmp_path / "store")
+    full = store.with_frames(
+        plans=complete(store.plans, "plans"), queries=complete(store.queries, "queries")
+    )
+    write_store(full, root)
+    waits = cleanup(spark, root, ts(day=10), 5).wait_stats
+    plan = waits._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line and "wait_time_ms" in line)
+    assert "Subquery" in scan.split("PartitionFilters: [")[1].split("]")[0]
 
 
 def test_purge_empties_history_only(spark, store):

@@ -9,11 +9,13 @@ from tests import builders as b
 from tests.conftest import rows, ts
 from tidemark.operators.deltas import runtime_delta, wait_delta
 from tidemark.operators.snapshots import wait_snapshot
-from tidemark.schemas import STORE_TABLES
+from tidemark.schemas import SNAPSHOTS
 from tidemark.sources.tables import create_store, read_store
 from tidemark.sources.workload import Workload
 from tidemark.streaming.deltas import stream_delta, stream_wait_delta
-from tidemark.streaming.publish import append_batches, publish_intervals, read_landed, read_snapshots
+from tidemark.streaming.publish import (
+    append_batches, publish_differences, publish_intervals, read_landed, read_snapshots,
+)
 from tidemark.streaming.totals import interval_totals
 
 SF = "/root/testdata/sf0.001"
@@ -38,7 +40,7 @@ def run(stream, tmp_path, name, **options):
 def land(df, path, name, *groups):
     """One file per group of intervals."""
     for i, (first, last) in enumerate(groups):
-        part = df.filter(F.col("interval_id").between(first, last)).select(*STORE_TABLES[name].names)
+        part = df.filter(F.col("interval_id").between(first, last)).select(*SNAPSHOTS[name].names)
         part.coalesce(1).write.parquet(f"{path}/part={i}")
     return f"{path}/*"
 
@@ -74,6 +76,71 @@ def test_stream_delta_gaps_late_and_unsorted_rows(spark, tmp_path):
     ]
 
 
+def test_stream_delta_takes_an_interval_once(spark, tmp_path):
+    """A snapshot repeated within one micro-batch is a repetition too."""
+    folder = str(tmp_path / "in")
+    b.runtime(spark, [(1, 1, 2, 20), (1, 2, 5, 50), (1, 2, 5, 50), (1, 3, 7, 70)]).coalesce(1).write.parquet(folder)
+    got = run(stream_delta(read_snapshots(spark, folder, "query_runtime_stats")), tmp_path, "out")
+    assert rows(got, "interval_id", "execution_count", "is_delta") == [(1, 3, True), (2, 2, True)]
+
+
+RUNTIME_BATCHES = [
+    [(1, 2, 5, 50), (1, 3, 7, 70), (1, 3, 7, 70), (2, 3, 4, 40)],
+    [(1, 4, 9, 90), (2, 1, 1, 10)],  # the second is late and has no successor
+    [(1, 3, 7, 70), (1, 4, 9, 90), (2, 2, 3, 30)],  # repetitions, and a late one between two others
+    [(1, 6, 11, 110)],
+    [(1, 7, 5, 50), (2, 4, 6, 60)],
+]
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_snapshots_are_stored_as_differences(spark, tmp_path, twice):
+    root = str(tmp_path / "store")
+    create_store(spark, root)
+    land_batch = publish_differences(root, "query_runtime_stats")
+    for i, data in enumerate(RUNTIME_BATCHES):
+        for _ in range(1 + twice):
+            land_batch(b.runtime(spark, data), i)
+    whole = b.runtime(spark, sorted({x for data in RUNTIME_BATCHES for x in data}))
+    got, expected = read_store(spark, root).query_runtime_stats, runtime_delta(whole)
+    assert rows(got, *expected.columns) == rows(expected, *expected.columns)
+
+
+def test_waits_are_stored_as_differences(spark, tmp_path):
+    """Intervals without new waits leave no row, also when their batch is repeated."""
+    root = str(tmp_path / "store")
+    create_store(spark, root)
+    batches = [
+        [(1, "a", 1, 1), (2, "a", 1, 1), (3, "a", 1, 1), (3, "b", 2, 2)],
+        [(4, "a", 5, 9), (4, "b", 2, 2)],
+        [(5, "a", 5, 9), (5, "b", 8, 8), (6, "b", 8, 8), (7, "b", 9, 9)],
+    ]
+    land_batch = publish_differences(root, "wait_stats")
+    for i, data in enumerate(batches):
+        for _ in range(2):
+            land_batch(b.waits(spark, data), i)
+    expected = wait_delta(b.waits(spark, [x for data in batches for x in data]))
+    got = read_store(spark, root).wait_stats
+    assert rows(got, *expected.columns) == rows(expected, *expected.columns)
+
+
+def test_landing_differences_runs_no_python(spark, tmp_path):
+    """Every plan of a batch stays in the JVM."""
+    seen = []
+    root = str(tmp_path / "store")
+    create_store(spark, root)
+    folder = str(tmp_path / "in")
+    b.runtime(spark, [(1, 1, 2, 20), (1, 2, 5, 50)]).write.parquet(folder)
+
+    def land_and_look(batch, batch_id):
+        publish_differences(root, "query_runtime_stats")(batch, batch_id)
+        seen.append(batch._jdf.queryExecution().executedPlan().toString())
+
+    deliver(read_snapshots(spark, folder, "query_runtime_stats"), land_and_look, tmp_path, "state")
+    assert seen and "Python" not in seen[0] and "Pandas" not in seen[0]
+    assert rows(read_store(spark, root).query_runtime_stats, "interval_id", "execution_count", "is_delta") == [(1, 3, True), (2, 5, False)]
+
+
 def test_stream_wait_delta_equals_batch(spark, workload, tmp_path):
     snap = wait_snapshot(workload.wait_counters()).filter("interval_id > 690").persist()
     path = land(snap, str(tmp_path / "in"), "wait_stats", (691, 700), (701, 720))
@@ -143,6 +210,16 @@ def test_an_interval_may_come_in_several_batches(spark, tmp_path):
     assert [w for w, _ in got] == ["a", "b", "c"]
 
 
+def test_of_two_rows_of_a_key_the_same_is_taken_however_they_come(spark, tmp_path):
+    taken = set()
+    for i, data in enumerate([[(9, "a", 1, 1), (9, "a", 2, 2)], [(9, "a", 2, 2), (9, "a", 1, 1)]]):
+        root = str(tmp_path / f"store{i}")
+        create_store(spark, root)
+        publish_intervals(root, "wait_stats")(b.waits(spark, data).coalesce(1), 0)
+        taken.update(rows(read_store(spark, root).wait_stats, "waiting_tasks_count"))
+    assert taken == {(2,)}
+
+
 def test_publish_keeps_time_zone_free_timestamps(spark, tmp_path):
     root = str(tmp_path / "store")
     store = create_store(spark, root, query_runtime_stats=b.runtime(spark, [(1, 1, 1, 1, ts(2, 30))]))

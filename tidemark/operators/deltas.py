@@ -6,7 +6,7 @@ successor keeps its cumulative counters; ``is_delta`` tells the two apart.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,6 +107,39 @@ def runtime_delta_step(earlier: DataFrame, later: DataFrame, on_reset: str = "ke
     )
 
 
+def lifetime(stored: DataFrame) -> DataFrame:
+    """Stored rows that hold lifetime counters; rows without a state count as such."""
+    return stored.filter(~F.coalesce(F.col("is_delta"), F.lit(False)))
+
+
+def first_pending(stored: DataFrame, key: str, newest: int) -> int:
+    """The first interval that still waits for its differences; ``newest`` if no run has failed.
+
+    A run that stopped before it stored differences leaves a key's lifetime counters in two
+    intervals in a row.  Two intervals are looked at, then the two before if they hold such a
+    pair, and so on, so this reads as far back as runs have failed and no farther.
+    """
+    while newest > 1:
+        both = lifetime(stored.filter(F.col("interval_id").isin(newest - 1, newest)))
+        if both.groupBy(key).agg(F.count_distinct("interval_id").alias("n")).filter("n > 1").isEmpty():
+            break
+        newest -= 1
+    return newest
+
+
+def catch_up(
+    stored: DataFrame, later: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame]
+) -> DataFrame:
+    """Difference all stored lifetime counters that have a successor, stored or in ``later``.
+
+    ``step`` is ``runtime_delta_step`` or ``wait_delta_step``.  Rows that hold differences stay as
+    they are and are nobody's successor, as their lifetime counters are gone.
+    """
+    raw = lifetime(stored).drop("is_delta")
+    fresh = step(raw, raw.unionByName(later.select(*raw.columns)))
+    return fresh.unionByName(stored.filter("is_delta"))
+
+
 def _wait_columns(paired: DataFrame) -> DataFrame:
     changed = {c: _difference(c) for c in WAIT_COUNTERS}
     kept = [c for c in paired.columns if not c.startswith("next_")]

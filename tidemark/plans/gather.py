@@ -16,7 +16,7 @@ from tidemark.operators.relational import assign_ids
 from tidemark.operators.retention import retention
 from tidemark.sources import ingest, log
 from tidemark.sources.cleanup import cleanup
-from tidemark.sources.tables import cut_lineage, publish_run
+from tidemark.sources.tables import as_stored, cut_lineage, publish_run
 from tidemark.store import Inputs, Store
 
 OWN_SCHEMA = "telemetry"
@@ -166,11 +166,19 @@ def gather(
     )
     waits = cut_lineage(snapshots.wait_snapshot(inputs.wait_counters, interval_id))
 
-    previous = F.col("interval_id") == interval_id - 1
-    earlier = store.query_runtime_stats.filter(previous)
-    earlier_waits = store.wait_stats.filter(previous)
-    runtime_deltas = cut_lineage(deltas.runtime_delta_step(earlier, runtime))
-    wait_deltas = cut_lineage(deltas.wait_delta_step(earlier_waits, waits))
+    # Usually the previous interval alone; more if runs have failed before they stored differences.
+    first = min(
+        deltas.first_pending(store.query_runtime_stats, "query_id", interval_id - 1),
+        deltas.first_pending(store.wait_stats, "wait_type", interval_id - 1),
+    )
+    pending = F.col("interval_id").between(first, interval_id - 1)
+    earlier_waits = store.wait_stats.filter(F.col("interval_id") == interval_id - 1)
+    runtime_deltas = cut_lineage(
+        deltas.catch_up(store.query_runtime_stats.filter(pending), runtime, deltas.runtime_delta_step)
+    )
+    wait_deltas = cut_lineage(
+        deltas.catch_up(store.wait_stats.filter(pending), waits, deltas.wait_delta_step)
+    )
 
     entries = store.activity_log.limit(0)
     if log_progress:
@@ -193,8 +201,8 @@ def gather(
         "plan_dbid": handles,
         "plans": plans,
         "queries": queries,
-        "query_runtime_stats": runtime_deltas.drop("is_delta").unionByName(runtime),
-        "wait_stats": wait_deltas.drop("is_delta").unionByName(waits),
+        "query_runtime_stats": runtime_deltas.unionByName(as_stored(runtime, "query_runtime_stats")),
+        "wait_stats": wait_deltas.unionByName(as_stored(waits, "wait_stats")),
         "activity_log": entries,
     }
     stages = {
@@ -210,14 +218,13 @@ def gather(
         plan_dbid=store.plan_dbid.unionByName(handles),
         plans=store.plans.unionByName(plans),
         queries=store.queries.unionByName(queries),
-        query_runtime_stats=store.query_runtime_stats.filter(~previous).unionByName(
+        query_runtime_stats=store.query_runtime_stats.filter(~pending).unionByName(
             changes["query_runtime_stats"]
         ),
-        wait_stats=store.wait_stats.filter(~previous).unionByName(changes["wait_stats"]),
+        wait_stats=store.wait_stats.filter(~pending).unionByName(changes["wait_stats"]),
         activity_log=store.activity_log.unionByName(entries),
     )
-    replaced = (interval_id - 1, interval_id)
-    run = Run(after, changes, stages, interval_ids=replaced)
+    run = Run(after, changes, stages, interval_ids=tuple(range(first, interval_id + 1)))
     return _clean(run, config, as_of)
 
 

@@ -4,6 +4,9 @@ Facts are aggregated before they meet a dimension wherever the aggregation key
 allows it, so what is joined has one row per query rather than one per query
 and interval.  Exclusion and existence tests on the key commute with the
 aggregation.
+
+A fact without a following snapshot holds lifetime counters.  Reports count it
+like any other, as they always have; with ``strict`` they leave it out.
 """
 
 from __future__ import annotations
@@ -43,12 +46,18 @@ def active_only(runtime: DataFrame) -> DataFrame:
     return runtime.filter(F.col("execution_count") > 0)
 
 
-def _recent_runtime(store: Store, as_of: datetime, lookback: timedelta) -> DataFrame:
-    return closed_within(active_only(store.query_runtime_stats), store.intervals, as_of, lookback)
+def differences_only(facts: DataFrame, strict: bool) -> DataFrame:
+    """With ``strict`` the rows that hold what happened in their interval, without lifetime counters."""
+    return facts.filter("is_delta") if strict else facts
+
+
+def _recent_runtime(store: Store, as_of: datetime, lookback: timedelta, strict: bool) -> DataFrame:
+    runtime = active_only(differences_only(store.query_runtime_stats, strict))
+    return closed_within(runtime, store.intervals, as_of, lookback)
 
 
-def _recent_waits(store: Store, as_of: datetime, lookback: timedelta) -> DataFrame:
-    waits = not_filtered_wait(store.wait_stats, store)
+def _recent_waits(store: Store, as_of: datetime, lookback: timedelta, strict: bool) -> DataFrame:
+    waits = not_filtered_wait(differences_only(store.wait_stats, strict), store)
     return closed_within(waits, store.intervals, as_of, lookback)
 
 
@@ -61,19 +70,19 @@ def _bucket(bucket: str) -> Column:
 
 
 def _per_known_query(
-    store: Store, as_of: datetime, lookback: timedelta, measure: Column
+    store: Store, as_of: datetime, lookback: timedelta, measure: Column, strict: bool
 ) -> DataFrame:
     """One measure per query that still exists and is not excluded."""
-    folded = _recent_runtime(store, as_of, lookback).groupBy("query_id").agg(measure)
+    folded = _recent_runtime(store, as_of, lookback, strict).groupBy("query_id").agg(measure)
     return keep_listed(not_excluded(folded, store), store.queries, "query_id")
 
 
 def top_avg_duration(
-    store: Store, as_of: datetime, lookback: timedelta = HOUR, limit: int | None = TOP
+    store: Store, as_of: datetime, lookback: timedelta = HOUR, limit: int | None = TOP, strict: bool = False
 ) -> DataFrame:
     """Queries with the longest mean duration (mean of the interval averages)."""
     measure = int_avg(F.col("avg_elapsed_time")).alias("avg_elapsed_time")
-    rows = _per_known_query(store, as_of, lookback, measure)
+    rows = _per_known_query(store, as_of, lookback, measure, strict)
     return top_n(
         rows.select("avg_elapsed_time", "query_id"),
         [F.desc("avg_elapsed_time"), F.asc("query_id")],
@@ -82,10 +91,11 @@ def top_avg_duration(
 
 
 def top_executions(
-    store: Store, as_of: datetime, lookback: timedelta = HOUR, limit: int | None = TOP
+    store: Store, as_of: datetime, lookback: timedelta = HOUR, limit: int | None = TOP, strict: bool = False
 ) -> DataFrame:
     """Queries executed most often."""
-    rows = _per_known_query(store, as_of, lookback, F.sum("execution_count").alias("count_exec"))
+    measure = F.sum("execution_count").alias("count_exec")
+    rows = _per_known_query(store, as_of, lookback, measure, strict)
     return top_n(
         rows.select("count_exec", "query_id"), [F.desc("count_exec"), F.asc("query_id")], limit
     )
@@ -126,8 +136,9 @@ def _by_time_and_database(
     lookback: timedelta,
     measures: list[str],
     bucket: str,
+    strict: bool,
 ) -> DataFrame:
-    recent = _recent_runtime(store, as_of, lookback).select("query_id", "interval_end", *measures)
+    recent = _recent_runtime(store, as_of, lookback, strict).select("query_id", "interval_end", *measures)
     return (
         recent.join(_query_databases(store), "query_id")
         .groupBy(_bucket(bucket), "database_name")
@@ -137,14 +148,14 @@ def _by_time_and_database(
 
 
 def worker_time(
-    store: Store, as_of: datetime, lookback: timedelta = EIGHT_HOURS, bucket: str = "label"
+    store: Store, as_of: datetime, lookback: timedelta = EIGHT_HOURS, bucket: str = "label", strict: bool = False
 ) -> DataFrame:
     """Sum of average worker times by time and database."""
-    return _by_time_and_database(store, as_of, lookback, ["avg_worker_time"], bucket)
+    return _by_time_and_database(store, as_of, lookback, ["avg_worker_time"], bucket, strict)
 
 
 def io(
-    store: Store, as_of: datetime, lookback: timedelta = HOUR, bucket: str = "label"
+    store: Store, as_of: datetime, lookback: timedelta = HOUR, bucket: str = "label", strict: bool = False
 ) -> DataFrame:
     """Sums of average logical reads and writes by time and database.
 
@@ -152,14 +163,14 @@ def io(
     ``EIGHT_HOURS`` for the period its title promises.
     """
     measures = ["avg_logical_reads", "avg_logical_writes"]
-    return _by_time_and_database(store, as_of, lookback, measures, bucket)
+    return _by_time_and_database(store, as_of, lookback, measures, bucket, strict)
 
 
 def elapsed_time(
-    store: Store, as_of: datetime, lookback: timedelta = EIGHT_HOURS, bucket: str = "label"
+    store: Store, as_of: datetime, lookback: timedelta = EIGHT_HOURS, bucket: str = "label", strict: bool = False
 ) -> DataFrame:
     """Sum of average durations by time and database."""
-    return _by_time_and_database(store, as_of, lookback, ["avg_elapsed_time"], bucket)
+    return _by_time_and_database(store, as_of, lookback, ["avg_elapsed_time"], bucket, strict)
 
 
 def item_count(store: Store) -> DataFrame:
@@ -241,11 +252,11 @@ def excluded_count(store: Store) -> DataFrame:
 
 
 def top_waits(
-    store: Store, as_of: datetime, lookback: timedelta = HOUR, limit: int | None = TOP
+    store: Store, as_of: datetime, lookback: timedelta = HOUR, limit: int | None = TOP, strict: bool = False
 ) -> DataFrame:
     """Wait types with the longest total wait."""
     rows = (
-        _recent_waits(store, as_of, lookback)
+        _recent_waits(store, as_of, lookback, strict)
         .groupBy("wait_type")
         .agg(F.sum("wait_time_ms").alias("total_wait_time"))
     )
@@ -258,6 +269,7 @@ def top3_waits(
     lookback: timedelta = HOUR,
     k: int = TOP_PER_INTERVAL,
     order_by: str = "wait_type",
+    strict: bool = False,
 ) -> DataFrame:
     """``k`` wait types of each interval.
 
@@ -270,7 +282,7 @@ def top3_waits(
     }
     if order_by not in orders:
         raise ValueError(f"order_by must be one of {tuple(orders)}")
-    rows = _recent_waits(store, as_of, lookback).select(
+    rows = _recent_waits(store, as_of, lookback, strict).select(
         "interval_id", "interval_end", "wait_type", "wait_time_ms"
     )
     ranked = top_k_per_group(rows, ["interval_id"], orders[order_by], k)
@@ -288,10 +300,11 @@ def wait_time_per_interval(
     lookback: timedelta = HOUR,
     limit: int | None = TOP,
     bucket: str = "label",
+    strict: bool = False,
 ) -> DataFrame:
     """Total wait time and number of waits by time; the earliest labels if limited."""
     rows = (
-        _recent_waits(store, as_of, lookback)
+        _recent_waits(store, as_of, lookback, strict)
         .groupBy(_bucket(bucket))
         .agg(
             F.sum("wait_time_ms").alias("total_wait_time"),

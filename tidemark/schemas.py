@@ -79,6 +79,16 @@ WAIT_STATS = struct(
 )
 WAIT_TYPE_FILTER = struct(("wait_type", STRING), ("is_default", BOOL))
 
+#: What a snapshot brings; a stored row also tells whether it holds differences or still lifetime counters.
+SNAPSHOTS = {"query_runtime_stats": QUERY_RUNTIME_STATS, "wait_stats": WAIT_STATS}
+STATE = "is_delta"
+
+
+def stored(snapshot: T.StructType) -> T.StructType:
+    """A snapshot's columns and the state of the row."""
+    return T.StructType([*snapshot.fields, T.StructField(STATE, BOOL)])
+
+
 STORE_TABLES: dict[str, T.StructType] = {
     "activity_log": ACTIVITY_LOG,
     "monitored_databases": MONITORED_DATABASES,
@@ -87,16 +97,24 @@ STORE_TABLES: dict[str, T.StructType] = {
     "plans": PLANS,
     "queries": QUERIES,
     "excluded_queries": EXCLUDED_QUERIES,
-    "query_runtime_stats": QUERY_RUNTIME_STATS,
-    "wait_stats": WAIT_STATS,
+    **{name: stored(snapshot) for name, snapshot in SNAPSHOTS.items()},
     "wait_type_filter": WAIT_TYPE_FILTER,
 }
 
-#: Facts are laid out by interval, so that look-back reports prune whole folders.
 #: What tells the rows of a fact apart.
 KEYS = {"query_runtime_stats": ["query_id", "interval_id"], "wait_stats": ["wait_type", "interval_id"]}
+#: Facts are laid out by interval, so that look-back reports prune whole folders.
 PARTITIONED_BY = {"query_runtime_stats": "interval_id", "wait_stats": "interval_id"}
 
+#: Where a store lists the facts that are gone but not yet removed from files.
+EXPIRED = {"query_runtime_stats": "expired_queries", "wait_stats": "expired_waits"}
+
+
+def expired(name: str) -> T.StructType:
+    """Columns of that list: the key of the fact, NULL for all keys, and the last interval that is gone."""
+    return T.StructType([STORE_TABLES[name][KEYS[name][0]], T.StructField("up_to", INT)])
+
+
 #: Tables that describe the set-up rather than history; a purge leaves them alone.
 KEPT_ON_PURGE = ("monitored_databases", "wait_type_filter")
 

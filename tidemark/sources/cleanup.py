@@ -1,40 +1,30 @@
-"""Retention on a stored store, touching no more files than it must."""
+"""Retention on a stored store, touching no file of a fact."""
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import at
 from tidemark.operators import retention as r
 from tidemark.sources import log
-from tidemark.sources.tables import append_rows, cut_lineage, drop_intervals, read_store, replace_intervals, swap_table
+from tidemark.sources.tables import append_rows, cut_lineage, expire, read_store, swap_table
 from tidemark.store import Store
 
 
-def _interval_ids(df: DataFrame) -> list[int]:
-    """Intervals that occur in a frame: one number per interval, however many rows it has."""
-    return [row[0] for row in df.select("interval_id").distinct().collect()]
-
-
-def _rewrite(table: DataFrame, gone: DataFrame, keys: list[str], root: str, name: str) -> None:
-    """Rewrite the intervals that lose rows; the others are not even read."""
-    touched = _interval_ids(gone)
-    if touched:
-        kept = table.filter(F.col("interval_id").isin(touched)).join(gone, keys, "left_anti")
-        replace_intervals(kept, root, name, touched)
-
-
 def _expire_waits(spark: SparkSession, store: Store, root: str, before: datetime, max_rows: int | None) -> None:
     if max_rows is None:
         last = r.newest_expired_interval(store.intervals, before)
-        expired = _interval_ids(store.wait_stats.filter(F.col("interval_id") <= last))
-        drop_intervals(spark, root, "wait_stats", expired)
+        limits = spark.range(1).select(F.lit(None).cast("string").alias("wait_type"), last.alias("up_to"))
+        limits = limits.filter("up_to IS NOT NULL")
     else:
-        gone = cut_lineage(r.expired_waits(store.wait_stats, store.intervals, before, max_rows))
-        _rewrite(store.wait_stats, gone, ["interval_id", "wait_type"], root, "wait_stats")
+        gone = r.expired_waits(store.wait_stats, store.intervals, before, max_rows)
+        limits = gone.groupBy("wait_type").agg(F.max("interval_id").alias("up_to"))
+    limits = cut_lineage(limits)
+    if not limits.isEmpty():
+        expire(limits, root, "wait_stats")
 
 
 def cleanup(
@@ -45,19 +35,24 @@ def cleanup(
     max_rows: int | None = None,
     log_progress: bool = False,
 ) -> Store:
-    """Apply ``retention`` to the files under ``root`` and read the store again.
+    """Apply ``retention`` to the store under ``root`` and read it again.
 
     With ``log_progress`` the log says so once everything is removed.
 
-    Runtime rows are removed by rewriting the intervals that hold some of an
-    expired query, waits by dropping folders; the small tables are written anew
-    and exchanged.  Nothing may read or write the store meanwhile.
+    Facts are not rewritten: what expires is listed, as queries and wait types
+    with the last interval that is gone, and readers leave it out.  The rows
+    that one step removes of a key are its earliest, with ``max_rows`` too, so
+    one number a key tells them.  ``compact`` removes them from the files, now
+    and then.  The small tables are written anew and exchanged.  Nothing may
+    read or write the store meanwhile.
     """
     store = read_store(spark, root)
     before = r.cutoff(as_of, days)
     candidates = cut_lineage(r.retention_candidates(store.query_runtime_stats, store.queries, before))
-    gone = cut_lineage(r.expired_runtime(store.query_runtime_stats, candidates, max_rows))
-    _rewrite(store.query_runtime_stats, gone, ["query_id", "interval_id"], root, "query_runtime_stats")
+    gone = r.expired_runtime(store.query_runtime_stats, candidates, max_rows)
+    limits = cut_lineage(gone.groupBy("query_id").agg(F.max("interval_id").alias("up_to")))
+    if not limits.isEmpty():
+        expire(limits, root, "query_runtime_stats")
     if max_rows is not None:
         left = read_store(spark, root).query_runtime_stats
         candidates = cut_lineage(r.without_runtime(candidates, left, max_rows))

@@ -50,7 +50,50 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
             F.min("interval_start").alias("interval_start"),
             F.max("interval_end").alias("interval_end"),
         )
-    return df
+    return _without_expired(df, root, name) if name in schemas.EXPIRED else df
+
+
+def _without_expired(facts: DataFrame, root: str, name: str) -> DataFrame:
+    """Facts without the rows that ``expire`` has listed since the table was last compacted.
+
+    A limit on all keys compares intervals alone and so prunes folders; limits
+    on single keys are an anti join.
+    """
+    spark = facts.sparkSession
+    if not _exists(spark, f"{root}/{schemas.EXPIRED[name]}"):
+        return facts
+    key = schemas.KEYS[name][0]
+    listed = spark.read.schema(schemas.expired(name)).parquet(f"{root}/{schemas.EXPIRED[name]}")
+    limit = listed.filter(F.col(key).isNull()).agg(F.max("up_to").alias("up_to")).scalar()
+    facts = facts.filter(F.coalesce(F.col("interval_id") > limit, F.lit(True)))
+    single = listed.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max("up_to").alias("_up_to"))
+    hidden = (F.col(key) == F.col("_key")) & (F.col("interval_id") <= F.col("_up_to"))
+    return facts.join(single, hidden, "left_anti")
+
+
+def expire(limits: DataFrame, root: str, name: str) -> None:
+    """Hide facts from readers without touching them: rows of a key up to an interval.
+
+    ``limits`` has the key (``query_id`` or ``wait_type``; NULL means all) and
+    ``up_to``.  Ids that are given again later start beyond it.
+    """
+    fields = schemas.expired(name).fields
+    rows = limits.select(*[F.col(f.name).cast(f.dataType) for f in fields])
+    rows.write.mode("append").parquet(f"{root}/{schemas.EXPIRED[name]}")
+
+
+def compact(spark: SparkSession, root: str, name: str) -> None:
+    """Write a fact table anew without its hidden rows, and forget what was hidden."""
+    folder = f"{root}/{schemas.EXPIRED[name]}"
+    if _exists(spark, folder):
+        swap_table(read_table(spark, root, name), root, name)
+        path, fs = _path(spark, folder)
+        fs.delete(path, True)
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path, fs = _path(spark, folder)
+    return fs.exists(path)
 
 
 def read_store(spark: SparkSession, root: str) -> Store:
@@ -66,13 +109,20 @@ def stored_files(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     }
 
 
+def as_stored(df: DataFrame, name: str) -> DataFrame:
+    """The columns of a store table.  Facts without ``is_delta`` are snapshots as they were taken."""
+    if name in schemas.SNAPSHOTS and schemas.STATE not in df.columns:
+        df = df.withColumn(schemas.STATE, F.lit(False))
+    return df.select(*[F.col(f.name).cast(f.dataType) for f in schemas.STORE_TABLES[name].fields])
+
+
 def _writer(df: DataFrame, name: str):
     """Writer in the table's layout.
 
     Rows of one interval are brought together, and a large interval is split
     again into evenly sized files.
     """
-    df = df.select(*[F.col(f.name).cast(f.dataType) for f in schemas.STORE_TABLES[name].fields])
+    df = as_stored(df, name)
     partition = schemas.PARTITIONED_BY.get(name)
     if partition is None:
         return df.write
@@ -102,6 +152,9 @@ def purge_store(spark: SparkSession, root: str) -> None:
         if name not in schemas.KEPT_ON_PURGE:
             writer = _writer(empty_table(spark, name), name).mode("overwrite")
             writer.option("partitionOverwriteMode", "static").parquet(f"{root}/{name}")
+    for folder in schemas.EXPIRED.values():
+        path, fs = _path(spark, f"{root}/{folder}")
+        fs.delete(path, True)
 
 
 def wait_type_filter(spark: SparkSession, names: Sequence[str], is_default: bool = True) -> DataFrame:
@@ -170,8 +223,9 @@ def publish_run(changes: Mapping[str, DataFrame], root: str, interval_ids: Seque
     The order makes a failed run safe to repeat.  Plans and queries precede the
     ledger of seen handles, so they are found again.  Until the new interval is
     opened, a repeated run takes the same id and overwrites its snapshot.  The
-    differences replace the previous snapshot last of all: a run that fails
-    just before leaves that one interval undifferenced, never differenced twice.
+    differences replace earlier snapshots last of all and from the earliest on:
+    where a run fails, it leaves snapshots next to each other, which the next
+    run finds and differences (``tidemark.operators.deltas.catch_up``).
     """
     newest = max(interval_ids, default=None)
     facts = [name for name in schemas.PARTITIONED_BY if name in changes]
@@ -186,7 +240,8 @@ def publish_run(changes: Mapping[str, DataFrame], root: str, interval_ids: Seque
         snapshot = changes[name].filter(F.col("interval_id") == newest)
         replace_intervals(snapshot, root, name, [newest])
     append("intervals")
-    for name in facts:
-        differences = changes[name].filter(F.col("interval_id") != newest)
-        replace_intervals(differences, root, name, [i for i in interval_ids if i != newest])
+    for interval_id in sorted(i for i in interval_ids if i != newest):
+        for name in facts:
+            differences = changes[name].filter(F.col("interval_id") == interval_id)
+            replace_intervals(differences, root, name, [interval_id])
     append("activity_log")

@@ -56,7 +56,10 @@ def _stepper(
             yield frame(held, False)
             return
         rows = np.concatenate([matrix(pdf) for pdf in batches])
-        rows = rows[np.argsort(rows[:, at_id], kind="stable")]
+        # By interval; of several rows of an interval the last in the order of all columns counts.
+        others = [rows[:, c] for c in range(len(fields)) if c != at_id]
+        rows = rows[np.lexsort([*others, rows[:, at_id]])]
+        rows = rows[np.append(rows[1:, at_id] != rows[:-1, at_id], True)]
         if held is not None:
             late = rows[rows[:, at_id] < held[0, at_id]]
             if len(late):

@@ -5,16 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.schemas import KEYS, STORE_TABLES
-from tidemark.sources.tables import cut_lineage, replace_intervals
+from tidemark.operators.deltas import lifetime, runtime_delta_step, wait_delta_step
+from tidemark.schemas import KEYS, SNAPSHOTS, STORE_TABLES
+from tidemark.sources.tables import as_stored, cut_lineage, read_table, replace_intervals
+
+STEPS = {"query_runtime_stats": runtime_delta_step, "wait_stats": wait_delta_step}
 
 
 def read_snapshots(
     spark: SparkSession, path: str, name: str, max_files_per_trigger: int | None = None
 ) -> DataFrame:
-    """A folder of snapshot files as a stream, in the schema of store table ``name``."""
-    reader = spark.readStream.schema(STORE_TABLES[name])
+    """A folder of snapshot files as a stream, in the schema of the snapshots of ``name``."""
+    reader = spark.readStream.schema(SNAPSHOTS[name])
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.parquet(path)
@@ -33,29 +37,74 @@ def append_batches(root: str, name: str) -> Callable[[DataFrame, int], None]:
     return land
 
 
+def one_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key: the last in the order of all columns, so repetitions change nothing."""
+    others = [c for c in rows.columns if c not in keys]
+    picked = rows.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_row"))
+    return picked.select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in rows.columns])
+
+
 def publish_intervals(root: str, name: str) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function that puts the rows of each batch into their intervals.
 
     A row takes the place of the stored one with its key; other rows of its
     interval stay, so an interval may come in several batches, and repeating
-    a batch is harmless.  Of several rows of a batch with one key one is taken.
+    a batch is harmless.  Of several rows of a batch with one key one is taken,
+    the same however they come.
     """
-    keys = KEYS[name]
+    keys, columns = KEYS[name], STORE_TABLES[name].names
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = cut_lineage(batch.select(*STORE_TABLES[name].names).dropDuplicates(keys))
+        fresh = cut_lineage(one_per_key(as_stored(batch, name), keys))
         if fresh.isEmpty():
             return
         stored = spark.read.schema(STORE_TABLES[name]).parquet(f"{root}/{name}")
         touched = stored.join(fresh.select("interval_id").distinct(), "interval_id", "left_semi")
-        rest = touched.join(fresh.select(*keys), keys, "left_anti").select(*STORE_TABLES[name].names)
+        rest = touched.join(fresh.select(*keys), keys, "left_anti").select(*columns)
         replace_intervals(fresh.unionByName(rest), root, name)
 
     return merge
 
 
+def publish_differences(root: str, name: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function that stores raw snapshots as differences: deltas of a stream as joins.
+
+    The store is the state: the newest row of a key holds lifetime counters and
+    is differenced when its successor comes, in whatever batch.  A snapshot
+    that comes late is differenced against its successor, and the one before it
+    against it, as long as their lifetime counters are still there; otherwise
+    it stays as it is, so nothing is lost.  A key and interval that is stored
+    already is not stored again, and of several rows of a batch one is taken,
+    so repeated batches and rows change nothing.
+
+    Only the intervals of a batch and those right before them are read and
+    exchanged; one number for each of them reaches the driver.
+    """
+    keys, columns, step = KEYS[name], STORE_TABLES[name].names, STEPS[name]
+    at = F.col("interval_id")
+
+    def difference(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = cut_lineage(one_per_key(batch.select(*SNAPSHOTS[name].names), keys))
+        if fresh.isEmpty():
+            return
+        around = fresh.select(F.explode(F.array(at - 1, at, at + 1)).alias("interval_id")).distinct()
+        near = cut_lineage(
+            read_table(spark, root, name).select(*columns).join(around, "interval_id", "left_semi")
+        )
+        touched = cut_lineage(fresh.select(F.explode(F.array(at - 1, at)).alias("interval_id")).distinct())
+        exchanged = near.join(touched, "interval_id", "left_semi")
+        raw = lifetime(near).drop("is_delta")
+        earlier = fresh.join(near.select(*keys), keys, "left_anti").unionByName(lifetime(exchanged).drop("is_delta"))
+        later = fresh.unionByName(raw.join(fresh.select(*keys), keys, "left_anti"))
+        rows = cut_lineage(step(earlier, later).unionByName(exchanged.filter("is_delta")))
+        replace_intervals(rows, root, name, [r["interval_id"] for r in touched.toLocalIterator()])
+
+    return difference
+
+
 def read_landed(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The landed rows as a batch frame, without the batch id."""
-    landed = spark.read.schema(STORE_TABLES[name]).parquet(f"{root}/{name}")
-    return landed.select(*STORE_TABLES[name].names)
+    landed = spark.read.schema(SNAPSHOTS[name]).parquet(f"{root}/{name}")
+    return landed.select(*SNAPSHOTS[name].names)
