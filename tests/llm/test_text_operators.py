@@ -99,6 +99,20 @@ def phrases_in_passages(others):
     return rows
 
 
+@pytest.mark.parametrize("distance", [1, 2, 4, 5, 7, 10])
+def test_exchanged_words_are_no_repetition(docs, distance):
+    """Words in exchanged places must not make up for each other in the hash of a passage."""
+    rows = []
+    for i in range(12):
+        base = [f"t{i}x{j}" for j in range(60)]
+        for doc, order in enumerate(("pqqp", "qppq")):
+            mine = list(base)
+            for at, sign in enumerate(order):
+                mine[18 + at * distance if distance < 10 else 12 + at * distance] = f"{sign}{i}"
+            rows.append((2 * i + doc, " ".join(mine)))
+    assert suffix_dedup.repeated_passages(docs(rows)).collect() == []
+
+
 def test_passages_around_a_frequent_phrase(docs):
     rows = phrases_in_passages(8)
     expected = shared_words(rows)

@@ -42,14 +42,19 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(27))
 
 
+def _place_factors(width: int) -> np.ndarray:
+    """An odd factor for each place of a sequence, unrelated to those of other places."""
+    return _mixed(np.arange(1, width + 1, dtype=np.uint64) * np.uint64(FACTORS[0])) | np.uint64(1)
+
+
 def _sequences(codes: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all sequences of ``width`` words."""
+    """Hashes of all sequences of ``width`` words, in which exchanged words do not make up for each other."""
     n = len(codes) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     out = np.zeros(n, np.uint64)
-    for i in range(width):
-        out += codes[i : i + n] * np.uint64((FACTORS[i % len(FACTORS)] + 2 * (i // len(FACTORS))) & (2**64 - 1))
+    for i, factor in enumerate(_place_factors(width)):
+        out += codes[i : i + n] * factor
     return _mixed(out)
 
 
@@ -152,7 +157,7 @@ def group_matches(rows: dict[str, list], shape: Shape) -> dict[str, list]:
     if not rows["head"]:
         return out
     span = shape.least - shape.head
-    factors = _mixed(np.arange(1, 2 * span + 4, dtype=np.uint64) * np.uint64(FACTORS[0])) | np.uint64(1)
+    factors = _place_factors(2 * span + 3)
     left, n_left = _sums(rows["left"], factors[:span])
     right, n_right = _sums(rows["right"], factors[span : 2 * span])
     head, salt, doc = (np.array(rows[c], np.int64) for c in ("head", "salt", "doc_id"))
