@@ -224,3 +224,48 @@ def test_publish_keeps_time_zone_free_timestamps(spark, tmp_path):
     root = str(tmp_path / "store")
     store = create_store(spark, root, query_runtime_stats=b.runtime(spark, [(1, 1, 1, 1, ts(2, 30))]))
     assert rows(store.query_runtime_stats, "last_execution_time") == [(ts(2, 30),)]
+
+
+def test_keys_that_share_a_call_do_not_mix(spark, tmp_path):
+    """Three neighbouring keys, one far away and none: late rows, gaps and repetitions of one are not the others'."""
+    batches = [
+        [(1, 3, 7, 70), (1, 2, 5, 50), (2, 2, 1, 10), (None, 2, 4, 40), (900, 1, 1, 10)],
+        [(1, 2, 99, 99), (2, 3, 4, 40), (2, 3, 4, 40), (3, 9, 2, 20), (None, 3, 6, 60)],
+        [(1, 4, 9, 90), (2, 5, 8, 80), (3, 10, 5, 50), (900, 2, 3, 30), (-1, 1, 1, 10)],
+        [(-1, 2, 3, 30), (3, 8, 1, 10)],
+    ]
+    folder = str(tmp_path / "in")
+    for i, data in enumerate(batches):
+        b.runtime(spark, data).coalesce(1).write.parquet(f"{folder}/part={i}")
+    got = run(stream_delta(read_snapshots(spark, f"{folder}/*", "query_runtime_stats", 1)), tmp_path, "out")
+    assert rows(got, "query_id", "interval_id", "execution_count", "avg_rows", "is_delta") == sorted([
+        (1, 2, 2, 10, True), (1, 2, 99, 0, False), (1, 3, 2, 10, True), (2, 2, 3, 10, True), (2, 3, 4, 0, False),
+        (None, 2, 2, 10, True), (3, 9, 3, 10, True), (3, 8, 1, 0, False), (900, 1, 2, 10, True), (-1, 1, 2, 10, True),
+    ], key=repr)
+
+
+def test_neighbouring_keys_share_a_call(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    b.runtime(spark, [(q, 1, 1, 1) for q in range(64)]).write.parquet(folder)
+    stream = stream_delta(read_snapshots(spark, folder, "query_runtime_stats"))
+    writer = stream.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    query = writer.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert states and max(states) == 4
+
+
+def test_a_landed_batch_leaves_no_intermediate_rows(spark, tmp_path):
+    from pathlib import Path
+
+    from tidemark.sources.tables import shared_folder
+
+    root = str(tmp_path / "store")
+    create_store(spark, root)
+    shared = Path(shared_folder(spark).removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in shared.rglob("*") if f.is_file())
+    before = size()
+    data = b.runtime(spark, [(q, i, q + i, q * i) for q in range(300) for i in range(1, 9)])
+    publish_differences(root, "query_runtime_stats")(data, 0)
+    assert size() - before < 20_000  # less than a tenth of the rows as they are
+    assert read_store(spark, root).query_runtime_stats.count() == 2400
