@@ -52,3 +52,10 @@ def test_matched_counters_are_folded_where_they_are(spark):
     by_key = [re.sub(r"#\d+L?", "", s) for s in shuffles(text)]
     assert "Exchange hashpartitioning(query_id, _block, 8)" in by_key
     assert not [s for s in by_key if s.startswith("Exchange hashpartitioning(query_id, interval_id")]
+
+
+def test_statements_without_text_are_not_paired(spark):
+    """Without hashes a handle of n statements gives n * n pairs; those that have no text go before that."""
+    text = plan(REGISTRY["new_queries"](spark, SF))
+    semi = [line for line in text.splitlines() if "LeftSemi" in line]
+    assert len(semi) == 1 and "[sql_handle" in semi[0]

@@ -156,7 +156,8 @@ def new_queries(
 
     Plans and statements meet on handle and fingerprint, so a handle with n plan
     rows and n statements gives n queries.  Without ``match_hash`` they meet on
-    the handle alone, which gives n * n.  The batch texts are joined to new rows only.
+    the handle alone, which gives n * n, so statements without a batch text go
+    before they are paired.  The batch texts are joined to new rows only.
     """
     statements = stats.select(
         "plan_handle",
@@ -174,7 +175,7 @@ def new_queries(
         )
         paired = owners.join(statements, ["plan_handle", "plan_fingerprint"])
     else:
-        paired = owners.join(statements, "plan_handle")
+        paired = owners.join(keep_listed(statements, text, "sql_handle"), "plan_handle")
     tagged = paired.withColumn(
         "query_plan_fingerprint", fingerprint(F.col("plan_fingerprint"), F.col("query_hash"))
     )
