@@ -5,10 +5,12 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import words
+from tidemark.llm import packing
 from tidemark.llm.packing import WordIds, hilbert, pack
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -30,6 +32,47 @@ def test_ids_of_words_are_ids_of_texts():
         assert np.frombuffer(joined, ids.dtype).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
+def test_each_word_of_a_stretch_is_looked_up_once():
+    """Texts give the ids of their words, however often these occur, and empty texts none."""
+    asked = []
+
+    class Asked(WordIds):
+        def of(self, found):
+            asked.extend(found.to_pylist())
+            return super().of(found)
+
+    ids = Asked(TOKENIZER.to_str())
+    texts = [*ODD, "", "one two one", " two\x0b\x0cone ", words(0, 300), words(0, 300)]
+    flat, ends = packing._ids_of(pa.array(texts), ids)
+    assert len(asked) == len(set(asked)) == len({w for t in texts for w in t.encode().split()} | {b""})
+    assert any(len(run) > 1 for run in ids._runs)
+    for text, a, b in zip(texts, [0, *ends], ends, strict=False):
+        assert flat[a:b].tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert [len(x) for x in packing._ids_of(pa.array([], pa.string()), ids)] == [0, 0]
+
+
+def test_plain_words_have_the_tokenizers_ids(monkeypatch):
+    """Also where few words are remembered and those asked for together are more."""
+    signs = [chr(c) for c in [*range(33, 127), *range(0xA1, 0x180), 0x2013, 0x2026, 0x201E, 0x3B1, 0x1E9E, 0x130, 0x4E00]]
+    rng = np.random.default_rng(5)
+    plain = ["".join(rng.choice(signs[:285], rng.integers(1, 12))) for _ in range(3000)]
+    some = list(dict.fromkeys([*signs, *plain, *[f"{a}{b}" for a in "aé9.'<" for b in signs]]))
+    monkeypatch.setattr(packing, "REMEMBERED", 1000)
+    ids = WordIds(TOKENIZER.to_str())
+    for part in (some[:900], some[500:]):
+        for word, found in zip(part, ids.of(pa.array(part)), strict=True):
+            assert np.frombuffer(found, ids.dtype).tolist() == TOKENIZER.encode(word, add_special_tokens=False).ids
+
+
+def test_stretches_hold_every_text(monkeypatch):
+    texts = pa.array(["aaa", "", "b" * 50, "cc", "dd", "", "e" * 9, ""])
+    monkeypatch.setattr(packing, "TOGETHER", 8)
+    got = list(packing._stretches(texts))
+    assert [x for _, part in got for x in part.to_pylist()] == texts.to_pylist()
+    assert [start for start, _ in got] == [0, 2, 3, 6, 7]
+    assert list(packing._stretches(pa.array([], pa.string()))) == []
+
+
 @pytest.mark.parametrize("dims,bits", [(2, 4), (3, 3), (4, 2)])
 def test_the_curve_visits_every_cell_step_by_step(dims, bits):
     cells = np.array(list(itertools.product(range(1 << bits), repeat=dims)))

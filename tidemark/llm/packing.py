@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import re
+import itertools
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import arrow_rows, cut
 
@@ -20,16 +24,49 @@ BUCKETS = 4096
 UNIT = 2.0**-20
 #: Words, and runs of signs within them, whose ids a worker remembers at most.
 REMEMBERED = 600_000
+#: Bytes of text whose words are looked up together.
+TOGETHER = 8 << 20
 #: Words of signs whose treatment by the tokenizer is plain: ASCII and the letters and marks of western Europe.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿŒœ¡¿«»–—‘’“”„…]+")
+#: Apostrophes and the signs of special tokens can make pieces belong together.
+_PLAIN, _JOINING = "^[!-~À-ÖØ-öø-ÿŒœ¡¿«»–—‘’“”„…]+$", r"'|<\|"
 #: Their pieces in lower case, which the tokenizer treats one by one.
-_RUNS = re.compile(r"[a-zß-öø-ÿœ]+|[0-9]|[^a-zß-öø-ÿœ0-9]+")
+_RUNS = "([a-zß-öø-ÿœ]+|[0-9]|[^a-zß-öø-ÿœ0-9]+)"
 
 
-def _byte_signs() -> dict[int, int]:
-    """Byte-level vocabularies write a byte without a visible Latin-1 sign as the next sign from 256 on."""
+def _byte_signs() -> str:
+    """Byte-level vocabularies write a byte without a visible Latin-1 sign as the next sign from 256 on.
+
+    All bytes are listed, as looking up one that is not costs far more.
+    """
     hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
-    return {b: 256 + i for i, b in enumerate(hidden)}
+    signs = {b: 256 + i for i, b in enumerate(hidden)}
+    return "".join(chr(signs.get(b, b)) for b in range(256))
+
+
+def _bytes(values: pa.Array) -> list[bytes]:
+    """Strings as UTF-8, cut out of their buffer."""
+    values = values.cast(pa.large_binary())
+    if not len(values):
+        return []
+    ends = np.frombuffer(values.buffers()[1], np.int64, len(values) + 1, values.offset * 8).tolist()
+    data = values.buffers()[2].to_pybytes() if ends[-1] else b""
+    return [data[a:b] for a, b in itertools.pairwise(ends)]
+
+
+def _side_by_side(
+    ids: list[bytes], which: pa.Array, lists: pa.Array, dtype: np.dtype
+) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the parts of all lists one after the other, and where those of each list end.
+
+    ``which`` says for each part whose ``ids`` it has.
+    """
+    known, places = np.frombuffer(b"".join(ids), dtype), which.to_numpy(zero_copy_only=False)
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // dtype.itemsize
+    taken = lengths[places]
+    ends = np.concatenate(([0], np.cumsum(taken)))
+    shift = (np.cumsum(lengths) - lengths)[places] - ends[:-1]
+    parts_until = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    return known[np.arange(ends[-1]) + np.repeat(shift, taken)], ends[parts_until]
 
 
 class WordIds(dict):
@@ -48,36 +85,53 @@ class WordIds(dict):
         self.tokenizer.no_padding()
         wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.dtype = np.dtype("<u4" if wide else "<u2")
+        self._code = "I" if wide else "H"
         self._model = self.tokenizer.model
         self._signs = _byte_signs()
-        self._runs: dict[str, bytes] = {}
+        self._runs: dict[bytes, bytes] = {}
+
+    def _packed(self, ids: list[int]) -> bytes:
+        # For a few numbers this takes a fraction of the time of an array of numpy.
+        return struct.pack(f"<{len(ids)}{self._code}", *ids)
 
-    def _run(self, run: str) -> bytes:
+    def _run(self, run: bytes) -> bytes:
         found = self._runs.get(run)
         if found is None:
-            text = run if run.isascii() else run.encode().decode("latin-1").translate(self._signs)
-            found = np.array([t.id for t in self._model.tokenize(text)], self.dtype).tobytes()
+            text = run.decode() if run.isascii() else run.decode("latin-1").translate(self._signs)
+            found = self._packed([t.id for t in self._model.tokenize(text)])
             if len(self._runs) > REMEMBERED:
                 self._runs.clear()
             self._runs[run] = found
         return found
 
     def __missing__(self, word: bytes) -> bytes:
-        """A plain word is cut into runs, which recur more often than words, and only merged.
-
-        Apostrophes and the signs of special tokens can make runs belong together; words with
-        them, and all others, are asked for whole.
-        """
-        text = word.decode()
-        if _PLAIN.fullmatch(text) and "'" not in text and "<|" not in text:
-            found = b"".join([self._run(run) for run in _RUNS.findall(text.lower())])
-        else:
-            found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        found = self._packed(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
         if len(self) > REMEMBERED:
             self.clear()
         self[word] = found
         return found
 
+    def of(self, words: pa.Array) -> list[bytes]:
+        """Ids of different words, new ones among them together.
+
+        Plain words are cut into runs, which recur more often than words, and only merged; all
+        others are asked for whole.
+        """
+        names = _bytes(words)
+        if len(self) + len(names) > REMEMBERED:
+            self.clear()
+        new = words.filter(pa.array([name not in self for name in names], pa.bool_()))
+        plain = pc.and_not(pc.match_substring_regex(new, _PLAIN), pc.match_substring_regex(new, _JOINING))
+        new = new.filter(plain)
+        # Plain words hold no blank, so blanks tell their runs apart.
+        runs = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(new), _RUNS, r"\1 "))
+        different = runs.flatten().dictionary_encode()
+        of_run = list(map(self._run, _bytes(different.dictionary)))
+        ids, ends = _side_by_side(of_run, different.indices, runs, self.dtype)
+        data, ends = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
+        self.update(zip(_bytes(new), [data[a:b] for a, b in itertools.pairwise([0, *ends])], strict=True))
+        return list(map(self.__getitem__, names))
+
 
 @lru_cache(maxsize=1)
 def word_ids(definition: str) -> WordIds:
@@ -118,36 +172,69 @@ def _directions(dims: int) -> np.ndarray:
     return np.random.default_rng(11).standard_normal((BUCKETS, dims))
 
 
-def _projected(ids: np.ndarray, directions: np.ndarray) -> list[int]:
-    """A document's hashed vector of damped id counts, of length 1, on each direction."""
+def _bucket(ids: np.ndarray) -> np.ndarray:
+    """The bucket of the hashed vector that each id counts in."""
     hashed = (ids.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(16)
-    buckets, counts = np.unique(hashed % np.uint32(BUCKETS), return_counts=True)
-    weights = np.log1p(counts)
-    values = weights @ directions[buckets] / np.sqrt(weights @ weights)
+    return (hashed % np.uint32(BUCKETS)).astype(np.int64)
+
+
+def _projected(buckets: np.ndarray, directions: np.ndarray) -> list[int]:
+    """A document's hashed vector of damped id counts, of length 1, on each direction."""
+    counts = np.bincount(buckets)
+    used = np.flatnonzero(counts)
+    weights = np.log1p(counts[used])
+    values = weights @ directions[used] / np.sqrt(weights @ weights)
     return np.rint(values / UNIT).astype(np.int64).tolist()
 
 
+def _stretches(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Texts about ``TOGETHER`` bytes at a time (or one text), with the place of the first."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        so_far = ends[start - 1] if start else 0
+        stop = max(int(np.searchsorted(ends, so_far + TOGETHER, side="right")), start + 1)
+        yield start, texts.slice(start, stop - start)
+        start = stop
+
+
+def _ids_of(texts: pa.Array, ids: WordIds) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after the other, and where each text's ids end.
+
+    Each different word is looked up once; its ids are then taken for all its places.
+    """
+    split = pc.ascii_split_whitespace(texts)
+    words = split.flatten().dictionary_encode()
+    return _side_by_side(ids.of(words.dictionary), words.indices, split, ids.dtype)
+
+
 def _tokenized(docs: DataFrame, definition: str, end: int, dims: int) -> DataFrame:
     """Per document: doc_id, its ids with the end as bytes, their number, and its projected vector."""
     shared = docs.sparkSession.sparkContext.broadcast(definition)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    types = T.StructType.fromDDL(f"doc_id {id_type}, ids binary, tokens long, point array<long>")
 
-    def each(batches: Iterator[dict]) -> Iterator[dict]:
-        ids = word_ids(shared.value)
-        last = np.array([end], ids.dtype).tobytes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        ids, schema = word_ids(shared.value), to_arrow_schema(types)
+        last = np.array([end], ids.dtype)
+        size = ids.tokenizer.get_vocab_size(with_added_tokens=True)
+        bucket = _bucket(np.arange(max(size, end + 1), dtype=np.uint32))
         directions = _directions(dims)
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("doc_id", "ids", "tokens", "point")}
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                data = b"".join(map(ids.__getitem__, (text or b"").split())) + last
-                values = np.frombuffer(data, ids.dtype)
-                for name, value in zip(out, (doc_id, data, len(values), _projected(values, directions)), strict=True):
-                    out[name].append(value)
-            yield out
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_rows(
-        docs.select("doc_id", "text"), each, f"doc_id {id_type}, ids binary, tokens long, point array<long>"
-    )
+            for start, texts in _stretches(pc.fill_null(batch.column("text"), "")):
+                flat, ends = _ids_of(texts, ids)
+                rows = [np.concatenate((flat[a:b], last)) for a, b in itertools.pairwise([0, *ends.tolist()])]
+                columns = [
+                    batch.column("doc_id").slice(start, len(texts)).cast(schema.field("doc_id").type),
+                    pa.array([row.tobytes() for row in rows], schema.field("ids").type),
+                    pa.array(list(map(len, rows)), schema.field("tokens").type),
+                    pa.array([_projected(bucket[row], directions) for row in rows], schema.field("point").type),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return docs.select("doc_id", "text").mapInArrow(run, types)
 
 
 def _placed(tokenized: DataFrame, dims: int, bits: int) -> DataFrame:
