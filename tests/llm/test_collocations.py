@@ -71,6 +71,34 @@ def test_long_texts_are_read_in_stretches(spark):
     assert sorted(map(tuple, collocations(docs, settings).collect())) == brute(rows, settings, 2000)
 
 
+def test_rare_pairs_of_frequent_words_are_not_counted_one_by_one(spark, monkeypatch):
+    """All words are frequent and only one pair is: no other pair gets into the tables of counts."""
+    numbers = np.random.default_rng(5).integers(0, 60, (40, 100))
+    rows = [("en", " ".join(f"w{x}" for x in of_text) + ". new york") for of_text in numbers.tolist()]
+    pairs, write = [], module.shared_table
+
+    def watched(df, name, by=None):
+        out = write(df, name, by)
+        if "/step" in name:
+            pairs.extend(r.phrase for r in out.filter("words = 2").collect())
+        return out
+
+    monkeypatch.setattr(module, "shared_table", watched)
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    settings = Settings(3, 20, 2)
+    assert sorted(map(tuple, collocations(docs, settings).collect())) == brute(rows, settings, 2000)
+    assert set(pairs) == {"new york"}
+
+
+@pytest.mark.parametrize("pairs", [8, 64])
+def test_few_cells_for_pairs(spark, pairs):
+    """Pairs that share cells are told apart, and wide numbers are read as they were written."""
+    rows = texts(np.random.default_rng(7), 60) + [("en", " ".join(f"v{i}" for i in range(70_000)))]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    settings = Settings(4, 4, 2, pairs=pairs)
+    assert sorted(map(tuple, collocations(docs, settings).collect())) == brute(rows, settings, 2000)
+
+
 def test_products_beyond_64_bits(spark, monkeypatch):
     """Scores of large counts are exact."""
     f = [("x", 1, "p", 9_000_000_000_001), ("x", 1, "q", 7_000_000_000_003), ("x", 2, "p q", 6_000_000_000_000), ("x", 0, "", 10**14)]

@@ -9,6 +9,8 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ class Settings:
 
     The filter of frequent phrases has ``cells`` of 64 bits, a power of two: its size is fixed,
     whatever it holds.  A task looks at ``together`` bytes of text at a time (or one text).
+    Pairs of words are first counted in at most ``pairs`` cells, a power of two from 8 on.
     """
 
     longest: int = 5
@@ -34,6 +37,7 @@ class Settings:
     shards: int = 2
     cells: int = 1 << 18
     together: int = 3 << 20
+    pairs: int = 1 << 27
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -56,201 +60,315 @@ def _holds(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
-    """Words and languages of one stretch of texts by number, in the order they come."""
+    """Words of one language by number; the numbers of a stretch go on from language to language.
+
+    The sign "." is never part of a word here: it stands for any border of pieces and has number 0.
+    """
+
+    def __init__(self, names: list[bytes]) -> None:
+        super().__init__({b".": 0})
+        self._names = names
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = len(self)
-        return self[word]
+        self[word] = number = len(self._names)
+        self._names.append(word)
+        return number
+
+
+class _Gathered:
+    """Texts that become one stretch: its words with their languages, and their order by number."""
+
+    def __init__(self) -> None:
+        self.size = 0
+        self._names, self._words = [b""], {}
+        self._lang_of, self._numbers = [np.zeros(1, np.int32)], []
+
+    def add(self, lang: str, text: bytes) -> None:
+        if lang not in self._words:
+            self._words[lang] = len(self._words), _Words(self._names)
+        place, words = self._words[lang]
+        known = len(self._names)
+        found = text.translate(_SIGNS).replace(b"\n", b" . ").split()
+        self._numbers.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
+        self._numbers.append(np.zeros(1, np.uint32))
+        self._lang_of.append(np.full(len(self._names) - known, place, np.int32))
+        self.size += len(text)
+
+    def row(self) -> list:
+        return _row(list(self._words), self._names, np.concatenate(self._lang_of), np.concatenate(self._numbers))
+
+
+#: A stretch of texts: its languages; its words, of which the first is none, and the language of each;
+#: the number of each word in turn, 0 at a border of pieces; and how many words these are.
+_STRETCH = [
+    ("langs", pa.list_(pa.string())), ("words", pa.binary()), ("lang_of", pa.binary()), ("numbers", pa.binary()), ("n", pa.int64())
+]
+_STRETCH_DDL = "langs array<string>, words binary, lang_of binary, numbers binary, n long, shard int"
+
+
+def _width(words: int) -> str:
+    """Type of the numbers of so many words."""
+    return "<u2" if words <= 1 << 16 else "<u4"
+
+
+def _row(langs: list[str], names: list[bytes], lang_of: np.ndarray, numbers: np.ndarray) -> list:
+    packed = numbers.astype(_width(len(names))).tobytes()
+    return [langs, b"\n".join(names), lang_of.astype("<i4").tobytes(), packed, int(np.count_nonzero(numbers))]
+
+
+def _batch(rows: list[tuple[list, int]]) -> pa.RecordBatch:
+    """Stretches with their shards."""
+    columns = [pa.array([row[i] for row, _ in rows], kind) for i, (_, kind) in enumerate(_STRETCH)]
+    return pa.RecordBatch.from_arrays(
+        [*columns, pa.array([shard for _, shard in rows], pa.int32())], names=[*[name for name, _ in _STRETCH], "shard"]
+    )
 
 
 class _Stretch:
-    """Words of some texts by number, and the phrases that a filter lets in.
+    """Words of some texts by number, and the phrases that the filters let in.
 
     Phrases are told apart by numbers given to words and to beginnings, not by their hashes.
     """
 
-    def __init__(self, texts: list[tuple[str, bytes]]) -> None:
+    def __init__(self, langs: list[str], words: bytes, lang_of: bytes, numbers: bytes) -> None:
         import xxhash
 
-        words, langs = _Words(), _Words()
-        border, stop = words[b"\n"], words[b"."]
-        numbers, of_lang, self.ends = [], [], []
-        for lang, text in texts:
-            # The sign "." is never part of a word here: it stands for any border of pieces.
-            found = text.translate(_SIGNS).replace(b"\n", b" . ").split()
-            mine = np.fromiter(map(words.__getitem__, found), np.int32, len(found))
-            numbers.append(np.append(mine, np.int32(border)))
-            of_lang.append(np.full(len(found) + 1, langs[lang.encode()], np.int32))
-            self.ends.append(len(found) + 1)
-        self.word, self.lang = np.concatenate(numbers).astype(np.int64), np.concatenate(of_lang).astype(np.int64)
-        self.inside = (self.word != border) & (self.word != stop)
-        self.names, self.langs = list(words), [name.decode() for name in langs]
-        self._hash_of_word = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-        self._hash_of_lang = np.array([xxhash.xxh3_64_intdigest(w, seed=1) for w in langs], np.uint64)
-
-    def phrases(self, now: np.ndarray, longest: int) -> Iterator[_Phrases]:
-        """Words, then the phrases of 2, 3 ... words whose beginning and end the filter holds."""
-        at = np.flatnonzero(self.inside)
-        keys, first, number, counts = np.unique(
-            self.lang[at] << 32 | self.word[at], return_index=True, return_inverse=True, return_counts=True
-        )
-        single = np.full(len(self.word), -1, np.int64)
-        single[at] = number
-        where = at[first]
-        single_hash = hashes = _mixed(self._hash_of_word[self.word[where]] ^ self._hash_of_lang[self.lang[where]])
-        yield _Phrases(1, at, number, where, hashes, counts, None, None)
+        self.langs, self.names = langs, words.split(b"\n")
+        self.lang_of = np.frombuffer(lang_of, "<i4")
+        self.word = np.frombuffer(numbers, _width(len(self.names))).astype(np.int64)
+        of_lang = np.array([xxhash.xxh3_64_intdigest(name.encode(), seed=1) for name in langs], np.uint64)
+        of_word = np.array([xxhash.xxh3_64_intdigest(w) for w in self.names], np.uint64)
+        self.hashes = _mixed(of_word ^ of_lang[self.lang_of])
+
+    def pairs(self) -> np.ndarray:
+        """Hashes of all neighbouring words."""
+        at = np.flatnonzero((self.word[:-1] > 0) & (self.word[1:] > 0))
+        return _mixed(self.hashes[self.word[at]] * _ODD[2] + self.hashes[self.word[at + 1]])
+
+    def phrases(self, now: np.ndarray, possible: np.ndarray, longest: int) -> Iterator[_Phrases]:
+        """Words, then the phrases of 2, 3 ... words whose beginning and end the filter holds.
+
+        Pairs whose cell of ``possible`` is not set are left out, and what they are a part of.
+        """
+        at = np.flatnonzero(self.word)
+        number, hashes = self.word[at], self.hashes
+        words = (np.arange(len(self.names)),)
+        yield _Phrases(1, at, number, words, hashes, np.bincount(number, minlength=len(hashes)), None, None)
         for length in range(2, longest + 1):
-            frequent = _holds(now, hashes)
             # A phrase begins where its beginning does and where its end begins one word later.
+            held = _holds(now, hashes)[number]
+            at, number = at[held], number[held]
             number_at = np.full(len(self.word) + 1, -1, np.int64)
             number_at[at] = number
             end = number_at[at + 1]
-            good = frequent[number] & (end >= 0)
-            good[good] = frequent[end[good]]
+            good = np.flatnonzero(end >= 0)
             at, number, end = at[good], number[good], end[good]
-            last = single[at + length - 1]
-            keys, first, inverse, counts = np.unique(
-                number << 32 | last, return_index=True, return_inverse=True, return_counts=True
-            )
-            begin, end = number[first], end[first]
-            hashes = _mixed(hashes[begin] * _ODD[2] + single_hash[last[first]])
+            last = self.word[at + length - 1]
+            if length == 2:
+                good = _is_possible(possible, _mixed(hashes[number] * _ODD[2] + self.hashes[last]))
+                at, number, end, last = at[good], number[good], end[good], last[good]
+            inverse, keys = pd.factorize(number << 32 | last)
+            begin, last = keys >> 32, keys & 0xFFFFFFFF
+            end_of = np.empty(len(keys), np.int64)
+            end_of[inverse] = end
+            hashes = _mixed(hashes[begin] * _ODD[2] + self.hashes[last])
+            words = (*[w[begin] for w in words], last)
             number = inverse
-            yield _Phrases(length, at, number, at[first], hashes, counts, begin, end)
-
-    def text(self, place: int, length: int) -> bytes:
-        """Words from a place on, joined by blanks."""
-        return b" ".join([self.names[w] for w in self.word[place : place + length].tolist()])
+            yield _Phrases(length, at, number, words, hashes, np.bincount(number, minlength=len(keys)), begin, end_of)
 
 
 @dataclass(frozen=True)
 class _Phrases:
-    """Phrases of one length: where they begin and which they are; of each a place, its hash and count,
+    """Phrases of one length: where they begin and which they are; of each its words, its hash and count,
     and the shorter phrases that are its beginning and its end."""
 
     length: int
     at: np.ndarray
     number: np.ndarray
-    where: np.ndarray
+    words: tuple[np.ndarray, ...]
     hashes: np.ndarray
     counts: np.ndarray
     begin: np.ndarray | None
     end: np.ndarray | None
 
 
-def counted(texts: list[tuple[str, bytes]], now: np.ndarray, cycle_ago: np.ndarray | None, longest: int) -> pd.DataFrame:
+def counted(
+    stretch: _Stretch, now: np.ndarray, cycle_ago: np.ndarray | None, possible: np.ndarray, longest: int
+) -> Iterator[pa.RecordBatch]:
     """Counts of the active phrases in some texts: lang, words (their number), phrase, hash, c.
 
     Words are active in the first cycle, that is without ``cycle_ago``.  A longer phrase is active if
     the filter ``now`` holds both its beginning and its end, the phrases shorter by one word, and
     ``cycle_ago`` did not let it in already: then it has been counted in a whole cycle.
     """
-    stretch = _Stretch(texts)
-    out: list[pd.DataFrame] = []
+    names, langs = pa.array(stretch.names, pa.binary()), pa.array(stretch.langs, pa.string())
     before, shorter = np.empty(0, bool), np.empty(0, np.uint64)
-    for p in stretch.phrases(now, longest):
+    for p in stretch.phrases(now, possible, longest):
         # Whether a phrase was active one cycle ago; if there is one, all words were.
         if p.begin is None:
-            before = np.full(len(p.where), cycle_ago is not None)
+            before = np.full(len(p.hashes), cycle_ago is not None)
         elif cycle_ago is not None:
             before = before & _holds(cycle_ago, shorter)
             before = before[p.begin] & before[p.end]
         else:
-            before = np.zeros(len(p.where), bool)
+            before = np.zeros(len(p.hashes), bool)
         shorter = p.hashes
-        which = np.flatnonzero(~before)
+        which = np.flatnonzero(~before & (p.counts > 0))
         if len(which):
-            where = p.where[which]
-            out.append(
-                pd.DataFrame(
-                    {
-                        "lang": [stretch.langs[i] for i in stretch.lang[where].tolist()],
-                        "words": np.full(len(which), p.length, np.int32),
-                        "phrase": [stretch.text(i, p.length).decode() for i in where.tolist()],
-                        "hash": p.hashes[which].view(np.int64),
-                        "c": p.counts[which],
-                    }
-                )
+            words = [w[which] for w in p.words]
+            phrase = pc.binary_join_element_wise(*[names.take(pa.array(w)) for w in words], b" ")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    langs.take(pa.array(stretch.lang_of[words[0]])),
+                    pa.array(np.full(len(which), p.length, np.int32)),
+                    phrase.cast(pa.string()),
+                    pa.array(p.hashes[which].view(np.int64)),
+                    pa.array(p.counts[which].astype(np.int64)),
+                ],
+                names=["lang", "words", "phrase", "hash", "c"],
             )
         if not len(p.at):
             break
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["lang", "words", "phrase", "hash", "c"])
 
 
-def shortened(texts: list[tuple[str, bytes]], now: np.ndarray, length: int) -> list[bytes]:
-    """The texts without words that lie in no phrase of ``length`` words that the filter holds.
+def shortened(stretch: _Stretch, now: np.ndarray, possible: np.ndarray, length: int) -> list | None:
+    """The stretch without words that lie in no phrase of ``length`` words that the filter holds.
 
-    Words left next to each other are a line; lines of ``length`` words or fewer are left out.
+    Words left next to each other are a piece; pieces of ``length`` words or fewer are left out.
     """
-    stretch = _Stretch(texts)
     steps = np.zeros(len(stretch.word) + 1, np.int64)
-    for p in stretch.phrases(now, length):
+    for p in stretch.phrases(now, possible, length):
         if p.length == length:
             held = p.at[_holds(now, p.hashes)[p.number]]
             steps[held] += 1
-            np.subtract.at(steps, held + length, 1)
+            steps -= np.bincount(held + length, minlength=len(steps))
     covered = np.cumsum(steps) > 0  # False at its end
     edges = np.flatnonzero(np.diff(covered, prepend=False))
-    lines: list[list[bytes]] = [[] for _ in texts]
-    text_of = np.searchsorted(np.cumsum(stretch.ends), edges[::2], side="right")
-    for text, a, b in zip(text_of.tolist(), edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-        if b - a > length:
-            lines[text].append(stretch.text(a, b - a))
-    return [b"\n".join(of_text) for of_text in lines]
-
-
-def _stretches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list[tuple[str, bytes]], list[int]]]:
-    """Texts with their languages, and their shards, about ``size`` bytes at a time."""
-    texts: list[tuple[str, bytes]] = []
-    shards: list[int] = []
-    so_far = 0
+    long_enough = edges[1::2] - edges[::2] > length
+    begins, ends = edges[::2][long_enough], edges[1::2][long_enough]
+    if not len(begins):
+        return None
+    # What follows a piece stands for the border behind it.
+    inside = np.zeros(len(covered), np.int64)
+    inside[begins] = 1
+    inside[ends] = -1
+    kept = np.cumsum(inside) > 0
+    numbers = np.where(kept[:-1], stretch.word, 0)
+    kept[ends] = True
+    used, numbers = np.unique(np.append(numbers[kept[:-1]], 0), return_inverse=True)
+    return _row(stretch.langs, [stretch.names[i] for i in used.tolist()], stretch.lang_of[used], numbers)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Stretch, int]]:
+    """Stretches with their shards."""
     for batch in batches:
-        column = batch.column("text")
-        encoded = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
-        rows = zip(batch.column("lang").to_pylist(), encoded, batch.column("shard").to_pylist(), strict=True)
-        for lang, text, shard in rows:
-            texts.append((lang, text.as_py()))
-            shards.append(shard)
-            so_far += len(texts[-1][1])
-            if so_far > size:
-                yield texts, shards
-                texts, shards, so_far = [], [], 0
-    if texts:
-        yield texts, shards
-
-
-def _scan(shard: DataFrame, now: np.ndarray, cycle_ago: np.ndarray | None, settings: Settings) -> DataFrame:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            yield _Stretch(row["langs"], row["words"], row["lang_of"], row["numbers"]), row["shard"]
+
+
+def _numbered(docs: DataFrame, settings: Settings) -> DataFrame:
+    """Texts (lang, text, shard) as stretches, about ``settings.together`` bytes of text each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered: dict[int, _Gathered] = {}
+        for batch in batches:
+            column = batch.column("text")
+            encoded = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+            rows = zip(batch.column("lang").to_pylist(), encoded, batch.column("shard").to_pylist(), strict=True)
+            for lang, text, shard in rows:
+                of_shard = gathered.setdefault(shard, _Gathered())
+                of_shard.add(lang, text.as_py())
+                if of_shard.size > settings.together:
+                    yield _batch([(gathered.pop(shard).row(), shard)])
+        for shard, of_shard in gathered.items():
+            yield _batch([(of_shard.row(), shard)])
+
+    return docs.select("lang", "text", "shard").mapInArrow(run, _STRETCH_DDL)
+
+
+def _is_possible(possible: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the cells of these pairs are set; there are eight cells a byte, and a power of two of them."""
+    cell = (hashes & np.uint64(8 * len(possible) - 1)).astype(np.int64)
+    return (possible[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _possible_pairs(shards: DataFrame, settings: Settings) -> np.ndarray:
+    """A cell for each hash of a pair: set if all pairs of the cell together are frequent.
+
+    Pairs are counted by cell, not one by one; a pair whose cell is not set cannot be frequent.
+    The cells grow with the words, up to ``settings.pairs``, so that few pairs share one.
+    """
+    words = shards.agg(F.sum("n")).first()[0] or 0
+    cells = min(1 << 16, settings.pairs)
+    while cells < words // 16 and cells < settings.pairs:
+        cells *= 2
+    block, least = min(1 << 16, cells), settings.least
+
+    def rows(hashes: list[np.ndarray]) -> pa.RecordBatch:
+        cell, counts = np.unique((np.concatenate(hashes) & np.uint64(cells - 1)).astype(np.uint32), return_counts=True)
+        of_block = cell // block
+        edges = np.flatnonzero(np.diff(of_block, prepend=-1, append=-1))
+        spans = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+        places, counts = (cell % block).astype("<u2"), counts.astype("<u4")
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(of_block[edges[:-1]].astype(np.int32)),
+                pa.array([places[a:b].tobytes() for a, b in spans], pa.binary()),
+                pa.array([counts[a:b].tobytes() for a, b in spans], pa.binary()),
+            ],
+            names=["block", "places", "counts"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes: list[np.ndarray] = []
+        for stretch, _ in _read(batches):
+            hashes.append(stretch.pairs())
+            if sum(map(len, hashes)) > 1 << 22:
+                yield rows(hashes)
+                hashes = []
+        if sum(map(len, hashes)):
+            yield rows(hashes)
+
+    def add(of_block: pa.Table) -> pa.Table:
+        total = np.zeros(block, np.int64)
+        for places, counts in zip(of_block["places"], of_block["counts"], strict=True):
+            total[np.frombuffer(places.as_py(), "<u2")] += np.frombuffer(counts.as_py(), "<u4")
+        bits = np.packbits(total >= least, bitorder="little").tobytes()
+        return pa.table({"block": of_block["block"].slice(0, 1), "bits": pa.array([bits], pa.binary())})
+
+    found = shards.mapInArrow(run, "block int, places binary, counts binary")
+    got = found.groupBy("block").applyInArrow(add, "block int, bits binary").toPandas()
+    possible = np.zeros((cells // block, block // 8), np.uint8)
+    for number, bits in zip(got["block"], got["bits"], strict=True):
+        possible[number] = np.frombuffer(bits, np.uint8)
+    return possible.reshape(-1)
+
+
+def _scan(
+    shard: DataFrame, now: np.ndarray, cycle_ago: np.ndarray | None, possible: Broadcast, settings: Settings
+) -> DataFrame:
     """Counts of the active phrases in a shard, stretch by stretch."""
     sent = shard.sparkSession.sparkContext.broadcast((now, cycle_ago))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema(
-            [("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("hash", pa.int64()), ("c", pa.int64())]
-        )
-        for texts, _ in _stretches(batches, settings.together):
-            found = counted(texts, *sent.value, settings.longest)
-            yield from pa.Table.from_pandas(found, schema, preserve_index=False).to_batches(1 << 16)
+        for stretch, _ in _read(batches):
+            yield from counted(stretch, *sent.value, possible.value, settings.longest)
 
-    return shard.select("lang", "text", "shard").mapInArrow(run, "lang string, words int, phrase string, hash long, c long")
+    return shard.mapInArrow(run, "lang string, words int, phrase string, hash long, c long")
 
 
-def _shorten(shards: DataFrame, now: np.ndarray, length: int, settings: Settings) -> DataFrame:
+def _shorten(shards: DataFrame, now: np.ndarray, possible: Broadcast, length: int) -> DataFrame:
     """The shards with what later cycles can still need: runs of frequent phrases of ``length`` words."""
     sent = shards.sparkSession.sparkContext.broadcast(now)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, of_shard in _stretches(batches, settings.together):
-            left = shortened(texts, sent.value, length)
-            kept = [i for i, text in enumerate(left) if text]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([texts[i][0] for i in kept], pa.string()),
-                    pa.array([left[i].decode() for i in kept], pa.string()),
-                    pa.array([of_shard[i] for i in kept], pa.int32()),
-                ],
-                names=["lang", "text", "shard"],
-            )
+        for stretch, shard in _read(batches):
+            left = shortened(stretch, sent.value, possible.value, length)
+            if left is not None:
+                yield _batch([(left, shard)])
 
-    return shards.select("lang", "text", "shard").mapInArrow(run, "lang string, text string, shard int")
+    return shards.mapInArrow(run, _STRETCH_DDL)
 
 
 def _with_frequent(filter_: np.ndarray, found: DataFrame) -> tuple[np.ndarray, bool]:
@@ -287,6 +405,10 @@ def frequent_phrases(docs: DataFrame, settings: Settings = Settings()) -> DataFr
     counted, but no count wrong.  What is active in a shard follows from the filters after the shard
     before and one cycle ago alone, so each phrase is counted once in each shard.
 
+    Texts are put into numbers once, and all passes read the numbers.  Before the first shard, pairs of
+    neighbouring words are counted by the cell of their hash, and pairs in cells that stay below the
+    threshold are never let in: most pairs of frequent words are rare, and so need no count of their own.
+
     After n whole cycles all phrases of n words are counted.  From the second on, words that lie in
     no frequent one of them are then left out of the shards, as no longer candidate can hold them.
 
@@ -297,12 +419,16 @@ def frequent_phrases(docs: DataFrame, settings: Settings = Settings()) -> DataFr
     lang = F.coalesce(F.col("lang"), F.lit(NO_LANGUAGE))
     salted = [c for c in ("doc_id", "text") if c in docs.columns]
     shards = shared_table(
-        docs.filter("text IS NOT NULL").select(
-            lang.alias("lang"), "text", F.pmod(F.xxhash64(*salted), F.lit(settings.shards)).cast("int").alias("shard")
+        _numbered(
+            docs.filter("text IS NOT NULL").select(
+                lang.alias("lang"), "text", F.pmod(F.xxhash64(*salted), F.lit(settings.shards)).cast("int").alias("shard")
+            ),
+            settings,
         ),
         f"{folder}/shards0",
         by="shard",
     )
+    possible = spark.sparkContext.broadcast(_possible_pairs(shards, settings))
     filters: list[np.ndarray | None] = [np.zeros(settings.cells, np.uint64)]
     totals: DataFrame | None = None
     finished: list[DataFrame] = []
@@ -321,11 +447,11 @@ def frequent_phrases(docs: DataFrame, settings: Settings = Settings()) -> DataFr
     while step < settings.shards or unchanged < settings.shards:
         cycle = step // settings.shards
         if cycle > 1 and step % settings.shards == 0:
-            shards = shared_table(_shorten(shards, filters[step], cycle, settings), f"{folder}/shards{cycle}", by="shard")
+            shards = shared_table(_shorten(shards, filters[step], possible, cycle), f"{folder}/shards{cycle}", by="shard")
             drop_shared(spark, f"{folder}/shards{cycle - 1 if cycle > 2 else 0}")
         cycle_ago = filters[step - settings.shards] if step >= settings.shards else None
         shard = shards.filter(F.col("shard") == step % settings.shards)
-        found = _scan(shard, filters[step], cycle_ago, settings).withColumn("since", F.lit(step))
+        found = _scan(shard, filters[step], cycle_ago, possible, settings).withColumn("since", F.lit(step))
         if totals is not None:
             # A phrase was let in when it was first seen or before, so a cycle later it is complete.
             complete = F.col("since") <= step - settings.shards
