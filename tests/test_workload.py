@@ -1,10 +1,13 @@
 """The derived workload against the events it comes from."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from checks.queries import REGISTRY
 from tests.conftest import rows
-from tidemark.operators.deltas import runtime_delta, wait_delta
+from tidemark.operators.deltas import catch_up, runtime_delta, runtime_delta_step, wait_delta
 from tidemark.operators.snapshots import runtime_snapshot, wait_snapshot
 from tidemark.sources.workload import EVICT_HOURS, Workload, hour_of
 
@@ -64,3 +67,41 @@ def test_handles_are_evicted(workload):
         (F.col("interval_id") - 1 - hour_of(F.col("last_execution_time"))).alias("hours")
     )
     assert idle.agg(F.min("hours"), F.max("hours")).first() == (1, EVICT_HOURS)
+
+
+@pytest.fixture
+def few_events(spark, tmp_path):
+    """Handles that come, stay, are evicted and come again; a user of the last day alone, and one without an id."""
+    hours = {1: [0, 3, 30, 150, 199], 2: [10, 100, 175, 176, 180], 3: [195], None: [5, 60, 190]}
+    events = [(u, f"'{t}'", h) for u, of_user in hours.items() for h in of_user for t in ("view", "buy")[: 1 + h % 2]]
+    values = ", ".join(
+        f"({i}L, timestamp_ntz'2024-01-01 00:10:00' + interval {h} hour, {'NULL' if u is None else u}, {t}, {i}.5D)"
+        for i, (u, t, h) in enumerate(events)
+    )
+    spark.sql(
+        f"SELECT id AS event_id, ts, CAST(user AS long) AS user_id, kind AS event_type, value, '{{\"k\": 3}}' AS props "
+        f"FROM VALUES {values} AS t(id, ts, user, kind, value)"
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+def test_snapshots_from_an_interval_on_are_those_of_all(spark, few_events):
+    w = Workload(spark, few_events)
+    for since in (-1, 1, 30, 150, 199, 200, 201):
+        whole = w.runtime_snapshots().filter(F.col("interval_id") >= since)
+        assert rows(w.runtime_snapshots(since=F.lit(since))) == rows(whole)
+
+
+def test_catch_up_differences_the_history_once(spark, few_events):
+    """The history is read for its own rows alone, not to look for snapshots that wait for their differences."""
+    made_up = REGISTRY["catch_up"](spark, few_events)
+    assert len(re.findall(r"Window \[.*lead\(interval_id", made_up._jdf.queryExecution().optimizedPlan().toString())) == 1
+    w = Workload(spark, few_events)
+    snapshots, newest = w.runtime_snapshots(), 200
+    stored = w.runtime_history().filter(F.col("interval_id") < newest - 24).unionByName(
+        snapshots.filter(F.col("interval_id").between(newest - 24, newest - 1)).withColumn("is_delta", F.lit(False))
+    )
+    later = snapshots.filter(F.col("interval_id") == newest)
+    whole = catch_up(stored, later, runtime_delta_step).unionByName(later.withColumn("is_delta", F.lit(False)))
+    columns = sorted(whole.columns)
+    assert rows(later) and rows(made_up, *columns) == rows(whole, *columns)
