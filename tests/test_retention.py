@@ -1,12 +1,14 @@
 import pytest
 
+from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tests import builders as b
 from tests.conftest import rows, ts
-from tidemark.schemas import STORE_TABLES
+from tidemark.schemas import QUERY_RUNTIME_STATS, STORE_TABLES
 from tidemark.sources.cleanup import cleanup
-from tidemark.sources.tables import append_rows, compact, read_store, write_store
+from tidemark.sources.tables import append_rows, compact, read_store, read_table, write_store
 from tidemark.operators.retention import exclude_query, purge, retention, retention_candidates
 
 
@@ -149,6 +151,46 @@ def test_expired_wait_folders_stay_unread(spark, store, tmp_path):
     assert "Subquery" in scan.split("PartitionFilters: [")[1].split("]")[0]
 
 
+def test_cleanup_lists_and_reads_facts_once(spark, store, tmp_path, monkeypatch):
+    root = str(tmp_path / "store")
+    full = store.with_frames(
+        plans=complete(store.plans, "plans"), queries=complete(store.queries, "queries")
+    )
+    write_store(full, root)
+    listed, parquet = [], DataFrameReader.parquet
+
+    def counted(reader, *paths, **options):
+        listed.extend(path.rsplit("/", 1)[-1] for path in paths)
+        return parquet(reader, *paths, **options)
+
+    monkeypatch.setattr(DataFrameReader, "parquet", counted)
+    cleanup(spark, root, ts(day=10), 5)
+    assert listed.count("query_runtime_stats") == 1 and listed.count("wait_stats") == 1
+
+
+def test_large_intervals_are_not_split_with_others(spark, tmp_path):
+    """40 intervals in 2 shuffle partitions: few are split together, not all that share a partition."""
+    counter = F.xxhash64("id")
+    history = spark.range(0, 40_000, 1, 8).select(
+        (F.col("id") % 1000).alias("query_id"),
+        (F.col("id") % 40 + 1).cast("int").alias("interval_id"),
+        *[counter.alias(f.name) if f.dataType == T.LongType() else F.lit(None).cast(f.dataType).alias(f.name)
+          for f in QUERY_RUNTIME_STATS.fields[2:]],
+    )
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "80k", "spark.sql.shuffle.partitions": "2"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        append_rows(history, str(tmp_path), "query_runtime_stats")
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    files = list((tmp_path / "query_runtime_stats").rglob("*.parquet"))
+    assert len(files) <= 120
+    assert rows(read_table(spark, str(tmp_path), "query_runtime_stats"), *history.columns) == rows(history)
+
+
 def test_purge_empties_history_only(spark, store):
     full = store.with_frames(
         excluded_queries=b.ids(spark, 1),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.times import at
 from tidemark.operators import retention as r
 from tidemark.sources import log
-from tidemark.sources.tables import append_rows, cut_lineage, expire, read_store, swap_table
+from tidemark.sources.tables import append_rows, cut_lineage, expire, fact_files, read_store, read_table, swap_table
 from tidemark.store import Store
 
 
@@ -46,15 +46,21 @@ def cleanup(
     and then.  The small tables are written anew and exchanged.  Nothing may
     read or write the store meanwhile.
     """
-    store = read_store(spark, root)
+    facts = fact_files(spark, root)
+    store = read_store(spark, root, facts)
     before = r.cutoff(as_of, days)
-    candidates = cut_lineage(r.retention_candidates(store.query_runtime_stats, store.queries, before))
-    gone = r.expired_runtime(store.query_runtime_stats, candidates, max_rows)
+    runtime = store.query_runtime_stats
+    if max_rows is None:
+        # Whole queries go, so the newest of each query tells all; the facts are read once.
+        newest = [F.max(c).alias(c) for c in ("last_execution_time", "interval_id")]
+        runtime = cut_lineage(runtime.groupBy("query_id").agg(*newest))
+    candidates = cut_lineage(r.retention_candidates(runtime, store.queries, before))
+    gone = r.expired_runtime(runtime, candidates, max_rows)
     limits = cut_lineage(gone.groupBy("query_id").agg(F.max("interval_id").alias("up_to")))
     if not limits.isEmpty():
         expire(limits, root, "query_runtime_stats")
     if max_rows is not None:
-        left = read_store(spark, root).query_runtime_stats
+        left = read_store(spark, root, facts).query_runtime_stats
         candidates = cut_lineage(r.without_runtime(candidates, left, max_rows))
     if not candidates.isEmpty():
         queries = cut_lineage(r.keep_queries(store.queries, candidates, max_rows))
@@ -65,7 +71,7 @@ def cleanup(
     if not store.activity_log.filter(F.col("log_timestamp") < at(before)).isEmpty():
         swap_table(r.keep_log(store.activity_log, before, max_rows), root, "activity_log")
     if log_progress:
-        last = read_store(spark, root).activity_log.agg(F.max("log_run_id"), F.max("log_id")).first()
+        last = read_table(spark, root, "activity_log").agg(F.max("log_run_id"), F.max("log_id")).first()
         entry = log.log_event(log.text_message(spark, log.CLEANED), (last[1] or 0) + 1, last[0] or 1, as_of)
         append_rows(entry, root, "activity_log")
-    return read_store(spark, root)
+    return read_store(spark, root, facts)
