@@ -269,3 +269,71 @@ def test_a_landed_batch_leaves_no_intermediate_rows(spark, tmp_path):
     publish_differences(root, "query_runtime_stats")(data, 0)
     assert size() - before < 20_000  # less than a tenth of the rows as they are
     assert read_store(spark, root).query_runtime_stats.count() == 2400
+
+
+SLICED = {
+    "query_runtime_stats": [
+        [(1, 2, 5, 50), (1, 3, 7, 70), (1, 3, 7, 70), (2, 3, 4, 40), (None, 3, 1, 10), (None, 4, 2, 20), (1, 8, 20, 200)],
+        # After a gap, late, repeated, and with other counters than are stored (1, 3 and 1, 8).
+        [(1, 3, 8, 80), (1, 4, 9, 90), (1, 5, 9, 90), (1, 7, 12, 120), (1, 8, 30, 300), (2, 1, 1, 10), (2, 2, 3, 30), (2, 9, 9, 90)],
+        [(2, 4, 6, 60), (1, 6, 11, 110), (1, 9, 40, 400), (2, 8, 8, 80), (1, 12, 50, 500)],
+    ],
+    "wait_stats": [
+        [(1, "a", 1, 1), (2, "a", 1, 1), (3, "a", 1, 1), (3, "b", 2, 2), (8, "a", 4, 4)],
+        [(4, "a", 5, 9), (4, "b", 2, 2), (5, "b", 2, 2), (7, "a", 5, 9), (8, "a", 5, 9), (9, "b", 3, 3)],
+        [(5, "a", 5, 9), (5, "b", 8, 8), (6, "b", 8, 8), (7, "b", 9, 9), (10, "b", 9, 9)],
+    ],
+}
+
+
+@pytest.mark.parametrize("name", SLICED)
+def test_slices_of_a_batch_change_no_result(spark, tmp_path, monkeypatch, name):
+    """A batch that is stored in four slices leaves what it leaves if it is stored at once."""
+    from tidemark.streaming import publish
+
+    make = {"query_runtime_stats": b.runtime, "wait_stats": b.waits}[name]
+    stored, got = [], {}
+    replace = publish.replace_intervals
+    monkeypatch.setattr(publish, "replace_intervals", lambda df, root, *more: (stored.append((root, df.count())), replace(df, root, *more)))
+    monkeypatch.setattr(publish, "SLICES", 4, raising=False)
+    for least in (1_000_000, 1):
+        monkeypatch.setattr(publish, "ROWS_PER_SLICE", least, raising=False)
+        root = str(tmp_path / f"store{least}")
+        create_store(spark, root)
+        land_batch = publish_differences(root, name)
+        for i, data in enumerate(SLICED[name]):
+            for _ in range(1 + (i == 1)):
+                land_batch(make(spark, data), i)
+        got[root] = rows(read_store(spark, root).tables()[name])
+    whole, sliced = got
+    assert got[sliced] == got[whole] and len(got[whole]) > 5
+    assert max(n for root, n in stored if root == sliced) < max(n for root, n in stored if root == whole)
+
+
+def test_slices_have_about_the_same_number_of_rows(monkeypatch):
+    from tidemark.streaming import publish
+
+    monkeypatch.setattr(publish, "ROWS_PER_SLICE", 100)
+    counts = {i: 10 for i in range(1, 101)} | {None: 10}
+    assert publish.slice_bounds(counts) == [11, 21, 31, 41, 51, 61, 71, 81, 91]
+    assert publish.slice_bounds({1: 99, 2: 100}) == [] and publish.slice_bounds({5: 1000, 6: 1, 7: 1}) == [6, 7]
+    assert len(publish.slice_bounds({i: 100 for i in range(1000)})) == publish.SLICES - 1
+    assert publish.slice_bounds({None: 1000}) == []
+
+
+def test_a_landed_batch_leaves_no_shuffle_files(spark, tmp_path):
+    import time
+
+    root = str(tmp_path / "store")
+    create_store(spark, root)
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    data = b.runtime(spark, [(q, i, q + i, q * i) for q in range(50) for i in range(1, 9)])
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(cleanup), shuffled()
+    publish_differences(root, "query_runtime_stats")(data, 0)
+    end = time.time() + 10
+    while (left := shuffled() - before) and time.time() < end:  # Spark removes them in the background
+        time.sleep(0.1)
+    assert not left and spark.conf.get(cleanup) == setting
+    assert read_store(spark, root).query_runtime_stats.count() == 400
